@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.mixing import mix, shares, source_rates
 from tessera.llm.packing import pack, pieces
 from tessera.llm.proportions import sample_to_targets
+from tessera.llm.residue import residue
 from tessera.storage import read_table
 
 CAPACITY = 4096
@@ -54,6 +55,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(mix(docs, rates), rates)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p8_found, p8_containers, p9_found, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): documents that hold residue."""
+    return residue(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
 
 ORACLES: dict[str, str] = {}
