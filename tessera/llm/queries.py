@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.langid import label_languages, mislabelled
 from tessera.llm.mixing import mix, shares, source_rates
 from tessera.llm.packing import pack, pieces
 from tessera.llm.proportions import sample_to_targets
@@ -60,6 +61,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_no, segment_no, lang): abstracts with a missing or wrong label or several languages."""
+    docs = read_table(spark, sf_dir, "raw_documents").select("rec_no", "language", "abstract").where("abstract is not null")
+    found = mislabelled(label_languages(docs, read_table(spark, sf_dir, "documents"), "abstract", "language", "text", "lang"), "language")
+    return found.select("rec_no", F.explode("segments").alias("s")).select("rec_no", "s.segment_no", "s.lang")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
 
 ORACLES: dict[str, str] = {}
