@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.langid import label_languages, mislabelled
 from tessera.llm.mixing import mix, shares, source_rates
+from tessera.llm.neighbours import nearest, pairs, vectors
 from tessera.llm.packing import pack, pieces
 from tessera.llm.proportions import sample_to_targets
 from tessera.llm.residue import residue
@@ -68,6 +69,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec_no", F.explode("segments").alias("s")).select("rec_no", "s.segment_no", "s.lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(facet, concept_a, concept_b): pairs of which either is among the other's five nearest."""
+    vecs = vectors(read_table(spark, sf_dir, "facets"), "concept_id", ["definition", "usage", "relational"], 64)
+    return pairs(nearest(vecs, 64, 5)).select(F.col("name").alias("facet"), F.col("a").alias("concept_a"), F.col("b").alias("concept_b"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p4_found, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
 
 ORACLES: dict[str, str] = {}
