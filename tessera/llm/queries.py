@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.history import History
 from tessera.llm.langid import label_languages, mislabelled
 from tessera.llm.mixing import mix, shares, source_rates
 from tessera.llm.neighbours import nearest, pairs, vectors
@@ -75,6 +76,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(nearest(vecs, 64, 5)).select(F.col("name").alias("facet"), F.col("a").alias("concept_a"), F.col("b").alias("concept_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p4_found, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kept_rec_no, rec_no): records of works already held, with the record that was kept.
+
+    The accepted history is ingested first, then the new batches together, in order of arrival."""
+    raw = read_table(spark, sf_dir, "raw_documents")
+    history = History()
+    for batch in (raw.where("batch_no = 0"), raw.where("batch_no > 0 or batch_no is null")):
+        history.ingest(batch)
+    return history.works()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p4_found, p5_found, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
 
 ORACLES: dict[str, str] = {}
