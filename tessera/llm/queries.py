@@ -12,6 +12,7 @@ from tessera.llm.neighbours import nearest, pairs, vectors
 from tessera.llm.packing import pack, pieces
 from tessera.llm.proportions import sample_to_targets
 from tessera.llm.residue import residue
+from tessera.llm.scans import read_scans
 from tessera.storage import read_table
 
 CAPACITY = 4096
@@ -87,6 +88,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.works()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p4_found, p5_found, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_no, line_no, kind, word): furniture, split words and misread words of scanned texts."""
+    found = read_scans(read_table(spark, sf_dir, "raw_documents"))
+    return found.select("rec_no", "line_no", "kind", "word").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p2_found, p4_found, p5_found, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
 
 ORACLES: dict[str, str] = {}
