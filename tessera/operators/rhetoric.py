@@ -221,12 +221,15 @@ def phrase_diff(a: Column, b: Column) -> dict[str, Column]:
     return {"shared": F.array_sort(F.array_intersect(x, y)), "only_a": F.array_sort(F.array_except(x, y)), "only_b": F.array_sort(F.array_except(y, x))}
 
 
-def render_audience(concept: Column, definition: Column, audience: str) -> Column:
-    """A concept for an audience, by template."""
-    if audience not in ("general", "technical"):
-        raise ValueError(f"unknown audience {audience}")
-    form = "In plain terms, %s means: %s" if audience == "general" else "Technically, %s is defined as: %s"
-    return F.format_string(form, concept, definition)
+def translate_term(term: Column, definition: Column) -> Column:
+    """struct of a term rendered without a model: the original and a caveat."""
+    caveats = F.array(F.lit("Automated translation not available; showing original."))
+    return F.struct(term.alias("original_term"), definition.alias("original_definition"), term.alias("translated_term"), definition.alias("explanation"), caveats.alias("caveats"))
+
+
+def render_term(translated: Column) -> Column:
+    """Original and translated term with the explanation below."""
+    return F.concat(translated["original_term"], F.lit(" -> "), translated["translated_term"], F.lit("\n"), translated["explanation"])
 
 
 def practical_mapping(df: DataFrame, concept: str, source: str, target: str) -> DataFrame:

@@ -107,7 +107,7 @@ def best_chunk_means(pairs: DataFrame, by: list[str], score: str, best: int = 5)
 
 
 def influence_type(strength: Column) -> Column:
-    return F.when(strength > 0.9, "direct_quotation").when(strength > 0.75, "close_paraphrase").when(strength > 0.6, "conceptual").otherwise("thematic")
+    return F.when(strength > 0.9, "direct_citation").when(strength > 0.75, "paraphrase").when(strength > 0.6, "conceptual").otherwise("structural")
 
 
 def influence_direction(source_date: Column, target_date: Column) -> Column:
