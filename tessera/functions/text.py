@@ -6,8 +6,9 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -25,27 +26,37 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
-def lexical_features(text: Column, markers: list[str]) -> dict[str, Column]:
-    """The eight lexical features; all 0 for an empty or null text.
+def lexical_features(text: Column, markers: list[str]) -> Column:
+    """struct of the eight lexical features; all 0 for an empty or null text.
 
-    Types and words that occur once come from runs in the sorted tokens, so no shuffle is needed.
+    One pass over the sorted tokens counts runs, so types and words that occur once need no shuffle.
     """
-    words = F.array_sort(tokens(text))
-    n = F.size(words)
-    runs = F.transform(words, lambda t, i: F.struct((F.get(words, i - 1).eqNullSafe(t)).alias("again"), (F.get(words, i + 1).eqNullSafe(t)).alias("more")))
-    types = F.size(F.filter(runs, lambda r: ~r["again"]))
-    once = F.size(F.filter(runs, lambda r: ~r["again"] & ~r["more"]))
-    letters = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, t: a + F.length(t))
-    return {
-        "n_tokens": n.cast("bigint"),
-        "n_types": types.cast("bigint"),
-        "ttr": _ratio(types, n),
-        "hapax_ratio": _ratio(once, types),
-        "mean_length": _ratio(letters, n),
-        "marker_density": _ratio(F.size(F.filter(words, _is_in(markers))), n),
-        "n_sentences": F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[.!?]+"), lambda s: F.trim(s) != "")).cast("bigint"),
-        "long_share": _ratio(F.size(F.filter(words, lambda t: F.length(t) > 10)), n),
-    }
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(F.lit(None).cast("string").alias("last"), zero.alias("run"), zero.alias("n"), zero.alias("types"), zero.alias("once"), zero.alias("letters"), zero.alias("marks"), zero.alias("longs"))
+
+    def step(s: Column, t: Column) -> Column:
+        again = s["last"].eqNullSafe(t)
+        return F.struct(
+            t.alias("last"),
+            F.when(again, s["run"] + 1).otherwise(F.lit(1).cast("bigint")).alias("run"),
+            (s["n"] + 1).alias("n"),
+            (s["types"] + F.when(again, 0).otherwise(1)).alias("types"),
+            (s["once"] + F.when(~again & (s["run"] == 1), 1).otherwise(0)).alias("once"),
+            (s["letters"] + F.length(t)).alias("letters"),
+            (s["marks"] + F.when(t.isin(*markers), 1).otherwise(0)).alias("marks"),
+            (s["longs"] + F.when(F.length(t) > 10, 1).otherwise(0)).alias("longs"),
+        )
+
+    n_sentences = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[.!?]+"), lambda x: F.trim(x) != "")).cast("bigint")
+
+    def finish(s: Column) -> Column:
+        once = s["once"] + F.when(s["run"] == 1, 1).otherwise(0)
+        return F.struct(
+            s["n"].alias("n_tokens"), s["types"].alias("n_types"), _ratio(s["types"], s["n"]).alias("ttr"), _ratio(once, s["types"]).alias("hapax_ratio"), _ratio(s["letters"], s["n"]).alias("mean_length"),
+            _ratio(s["marks"], s["n"]).alias("marker_density"), n_sentences.alias("n_sentences"), _ratio(s["longs"], s["n"]).alias("long_share"),
+        )
+
+    return F.aggregate(F.array_sort(tokens(text)), start, step, finish)
 
 
 def plain_features(text: Column, lower: bool = False) -> dict[str, Column]:
@@ -88,21 +99,22 @@ def paragraphs(text: Column, delimiter: str = r"\n\s*\n", longer_than: int = 20)
     return F.filter(F.transform(F.split(text, delimiter), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > longer_than)
 
 
-def word_windows(text: Column, size: int = 256, overlap: int = 64) -> Column:
-    """Windows of ``size`` whitespace words; a tail may lie wholly inside the window before."""
-    words = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+def word_windows(df: DataFrame, text: str, keep: list[str], size: int = 256, overlap: int = 64) -> DataFrame:
+    """(keep..., chunk_no, chunk): windows of ``size`` whitespace words, from 0; a tail may lie wholly
+    inside the window before.  Null and blank texts give no row."""
     step = max(size - overlap, 1)
-    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))
-    return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+    words = df.select(*keep, F.filter(F.split(F.col(f"`{text}`"), r"\s+"), lambda t: t != "").alias("__w")).where(F.size("__w") > 0)
+    starts = words.select(*keep, "__w", F.posexplode(F.sequence(F.lit(0), F.size("__w") - 1, F.lit(step))).alias("chunk_no", "__a"))
+    return starts.select(*keep, "chunk_no", F.array_join(F.slice("__w", F.col("__a") + 1, F.lit(size)), " ").alias("chunk"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Stripped text in composed Unicode form."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t.strip()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def bare_greek(texts: pd.Series) -> pd.Series:
     """Lower-case text without combining accents, in composed form."""
 
@@ -131,7 +143,7 @@ def html_text(html: Column) -> Column:
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def tei_text(pages: pd.Series) -> pd.Series:
     """Text of the p, l, sp, head and ab elements of TEI XML in document order; nested ones repeat
     their text; malformed XML loses its tags only."""

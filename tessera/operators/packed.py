@@ -55,40 +55,27 @@ def _restore(item: Column, spans: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def split_packed(text: Column) -> Column:
-    """Array of the values in ``text``, in order.
-
-    Quoted spans and escaped separators become placeholders that cannot occur in the text, the rest
-    is split at the separators, and array lookup restores the spans.  A JSON list is read as one.
-    Items that are empty after stripping are no values.  Null text gives null; an empty text gives
-    an empty array; an opening quote without its partner is an ordinary character.
-    """
-    stripped = _strip(text)
-    bracketed = stripped.rlike("(?s)^\\[.*\\]$")
-    listed = F.when(bracketed, F.from_json(stripped, "array<string>"))
-    plain = F.when(bracketed, F.substring(stripped, F.lit(2), F.length(stripped) - 2)).otherwise(stripped)
-    safe = F.replace(plain, F.lit(_OPEN), F.lit(f"{_OPEN}x{_CLOSE}"))
-    raw = F.regexp_extract_all(safe, F.lit(_SPAN), F.lit(0))
-    spans = F.transform(raw, _unwrap)
-    gaps = F.split(safe, _SPAN, -1)
-    last = F.size(gaps) - 1
-    masked = F.array_join(
-        F.transform(
-            gaps, lambda gap, i: F.when(i < last, F.concat(gap, F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))).otherwise(gap)
-        ),
-        "",
-    )
-    items = F.transform(F.split(masked, _SPLIT, -1), lambda item: _strip(_restore(_strip(item), spans)))
-    values = F.coalesce(F.transform(listed, lambda v: _strip(v)), items)
-    return F.when(text.isNotNull(), F.filter(values, lambda v: v.isNotNull() & (v != "")))
-
-
 def explode_packed(df: DataFrame, packed: str, value: str = "value", pos: str = "pos") -> DataFrame:
     """One row per value of column ``packed``, with all other columns kept and ``pos`` from 1.
 
-    Rows whose field is null or holds no value give no row.  Columns of ``df`` that are called
-    ``value`` or ``pos`` are replaced by the new ones.
+    Quoted spans and escaped separators become placeholders that cannot occur in the text, the rest
+    is split at the separators, and array lookup restores the spans.  A JSON list is read as one.
+    Items that are empty after stripping are no values, an opening quote without its partner is an
+    ordinary character.  Rows whose field is null or holds no value give no row.  Columns of ``df``
+    that are called ``value`` or ``pos`` are replaced by the new ones.
     """
     keep = [c for c in df.columns if c not in (packed, value, pos)]
-    exploded = df.select(*[F.col(f"`{c}`") for c in keep], F.posexplode(split_packed(F.col(f"`{packed}`"))).alias("__p", "__v"))
-    return exploded.select(*[F.col(f"`{c}`") for c in keep], (F.col("__p") + 1).alias(pos), F.col("__v").alias(value))
+    kept = [F.col(f"`{c}`") for c in keep]
+    stripped = df.select(*kept, _strip(F.col(f"`{packed}`")).alias("__s")).where("__s <> ''")
+    bracketed = F.col("__s").rlike("(?s)^\\[.*\\]$")
+    inner = F.when(bracketed, F.substring("__s", F.lit(2), F.length("__s") - 2)).otherwise(F.col("__s"))
+    # Each step is a column of its own, so that nothing is computed again for every item.
+    rows = stripped.select(*kept, F.when(bracketed, F.from_json("__s", "array<string>")).alias("__listed"), F.replace(inner, F.lit(_OPEN), F.lit(f"{_OPEN}x{_CLOSE}")).alias("__safe"))
+    rows = rows.select(*kept, "__listed", F.regexp_extract_all("__safe", F.lit(_SPAN), F.lit(0)).alias("__raw"), F.split("__safe", _SPAN, -1).alias("__gaps"))
+    last = F.size("__gaps") - 1
+    marked = F.transform("__gaps", lambda gap, i: F.when(i < last, F.concat(gap, F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))).otherwise(gap))
+    rows = rows.select(*kept, "__listed", F.transform("__raw", _unwrap).alias("__spans"), F.split(F.array_join(marked, ""), _SPLIT, -1).alias("__items"))
+    items = F.transform("__items", lambda item: _strip(_restore(_strip(item), F.col("__spans"))))
+    values = F.coalesce(F.transform("__listed", lambda v: _strip(v)), items)
+    exploded = rows.select(*kept, F.posexplode(F.filter(values, lambda v: v.isNotNull() & (v != ""))).alias("__p", "__v"))
+    return exploded.select(*kept, (F.col("__p") + 1).alias(pos), F.col("__v").alias(value))

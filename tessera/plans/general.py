@@ -30,8 +30,8 @@ def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_descendants": p7_descendants}
 
 _P7_LINKS = """
-WITH RECURSIVE n AS (SELECT DISTINCT tradition_id AS node, regexp_replace(lower(trim(parent)), '[^\\p{L}\\p{M}\\p{N}]+', '_', 'g') AS k FROM traditions),
-names AS (SELECT regexp_replace(lower(trim(node)), '[^\\p{L}\\p{M}\\p{N}]+', '_', 'g') AS k, min(node) AS parent FROM n GROUP BY 1),
+WITH RECURSIVE n AS (SELECT DISTINCT tradition_id AS node, regexp_replace(lower(regexp_replace(parent, '^[\\s\\x{a0}\\x{3000}]+|[\\s\\x{a0}\\x{3000}]+$', '', 'g')), '[^\\p{L}\\p{M}\\p{N}]+', '_', 'g') AS k FROM traditions),
+names AS (SELECT regexp_replace(lower(regexp_replace(node, '^[\\s\\x{a0}\\x{3000}]+|[\\s\\x{a0}\\x{3000}]+$', '', 'g')), '[^\\p{L}\\p{M}\\p{N}]+', '_', 'g') AS k, min(node) AS parent FROM n GROUP BY 1),
 l AS (SELECT n.node, min(names.parent) AS parent FROM n LEFT JOIN names ON n.k = names.k AND n.k <> '' GROUP BY 1),
 down AS (SELECT node, node AS root, 0 AS depth FROM l WHERE parent IS NULL
   UNION ALL SELECT l.node, down.root, down.depth + 1 FROM l JOIN down ON l.parent = down.node)
@@ -47,8 +47,8 @@ SELECT node AS tradition_id, root AS root_id, depth FROM down
 UNION ALL SELECT up.node, min(up.seen), CASE WHEN any_value(up.node) IN (SELECT node FROM cyc) THEN -1 ELSE -2 END
 FROM up WHERE up.seen IN (SELECT node FROM cyc) GROUP BY up.node""",
     "p7_descendants": """
-WITH RECURSIVE n AS (SELECT DISTINCT tradition_id AS node, regexp_replace(lower(trim(parent)), '[^\\p{L}\\p{M}\\p{N}]+', '_', 'g') AS k FROM traditions),
-names AS (SELECT regexp_replace(lower(trim(node)), '[^\\p{L}\\p{M}\\p{N}]+', '_', 'g') AS k, min(node) AS parent FROM n GROUP BY 1),
+WITH RECURSIVE n AS (SELECT DISTINCT tradition_id AS node, regexp_replace(lower(regexp_replace(parent, '^[\\s\\x{a0}\\x{3000}]+|[\\s\\x{a0}\\x{3000}]+$', '', 'g')), '[^\\p{L}\\p{M}\\p{N}]+', '_', 'g') AS k FROM traditions),
+names AS (SELECT regexp_replace(lower(regexp_replace(node, '^[\\s\\x{a0}\\x{3000}]+|[\\s\\x{a0}\\x{3000}]+$', '', 'g')), '[^\\p{L}\\p{M}\\p{N}]+', '_', 'g') AS k, min(node) AS parent FROM n GROUP BY 1),
 l AS (SELECT n.node, min(names.parent) AS parent FROM n LEFT JOIN names ON n.k = names.k AND n.k <> '' GROUP BY 1),
 tree AS (SELECT node FROM l WHERE parent IS NULL UNION ALL SELECT l.node FROM l JOIN tree ON l.parent = tree.node),
 pairs AS (SELECT l.parent AS ancestor, l.node AS descendant, 1 AS distance FROM l JOIN tree USING (node) WHERE l.parent IS NOT NULL
