@@ -49,9 +49,14 @@ _SIDE = re.compile(rf"^\s*(?:({_NUMBER})[\s|]{{2,}}(\S.*)|(.*\S)[\s|]{{2,}}({_NU
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
+# Signs that stand around words.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„‟«»‘’‚‹›…·•‐‑¬\u00ad、。，！？；：（）「」『』《》【】¿¡§†‡°؟،؛"
+
+
 def words(text: str) -> list[str]:
     """Words in lower case without signs around them; signs inside stay."""
-    return [w for w in (_EDGE.sub("", t) for t in _DASHES.split(text.lower())) if w]
+    parts = text.lower().replace("—", " ").replace("–", " ").split()
+    return [w for w in (t.strip(_SIGNS) for t in parts) if w]
 
 
 def _value(number: str) -> int | None:
@@ -70,14 +75,19 @@ def _core(text: str) -> str:
     return re.sub(r"[\W\d_]+", "", text.lower().translate(_DIGITS))
 
 
-def _alike(a: str, b: str) -> bool:
-    """Whether two heads are one but for a few misread characters or a cut end."""
+def _pairs(s: str) -> set[str]:
+    return {x + y for x, y in zip(s, s[1:], strict=False)}
+
+
+def _alike(a: str, b: str, known: dict[str, set[str]]) -> bool:
+    """Whether two heads are one but for a few misread characters or a cut end; ``known`` keeps the
+    letter pairs of texts seen."""
     if not a or not b or abs(len(a) - len(b)) > 2 + max(len(a), len(b)) // 12:
         return False
     if a == b:
         return True
-    grams = lambda s: {s[i : i + 2] for i in range(len(s) - 1)}
-    x, y = grams(a), grams(b)
+    x = known.get(a) or known.setdefault(a, _pairs(a))
+    y = known.get(b) or known.setdefault(b, _pairs(b))
     return len(x & y) >= 0.7 * max(len(x), len(y), 1)
 
 
@@ -109,6 +119,7 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
         sides.append(side)
     short = [j for j in range(len(at)) if 0 < len(cores[j]) and len(lines[at[j]].strip()) <= 1.25 * width]
     twins = [0] * len(at)
+    pairs: dict[str, set[str]] = {}
     if width < 160:
         buckets: dict[str, list[int]] = {}
         for j in short:
@@ -116,7 +127,7 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
             buckets.setdefault("$" + cores[j][-3:], []).append(j)
         for j in short:
             near = {k for k in (*buckets[cores[j][:3]], *buckets["$" + cores[j][-3:]]) if k != j}
-            twins[j] = sum(_alike(cores[j], cores[k]) for k in near)
+            twins[j] = sum(_alike(cores[j], cores[k], pairs) for k in near)
     paged = [n if n is not None else s for n, s in zip(numbers, sides, strict=True)]
     known = {n for n in paged if n is not None}
     rows = []
@@ -125,10 +136,10 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
         text = line.strip()
         before = lines[at[j - 1]].strip() if j else ""
         after = lines[at[j + 1]].strip() if j + 1 < len(at) else ""
-        letters = [c for c in text if c.isalpha()]
+        initials = [w[0] for w in text.split()]
         n = paged[j]
         core = cores[j]
-        as_title = bool(core) and len(core) >= 8 and (title_core.startswith(core[: max(8, len(core) - 2)]) or _alike(core, title_core[: len(core)]))
+        as_title = bool(core) and len(core) >= 8 and (title_core.startswith(core[: max(8, len(core) - 2)]) or _alike(core, title_core[: len(core)], pairs))
         as_author = any(a in core for a in author_cores)
         near_number = min((abs(k - j) for k in range(max(0, j - 2), min(len(at), j + 3)) if k != j and paged[k] is not None), default=9)
         rows.append(
@@ -145,7 +156,7 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
                 bool(after) and after[0].islower(),
                 i == 0 or not lines[i - 1].strip(),
                 i + 1 >= len(lines) or not lines[i + 1].strip(),
-                sum(c.isupper() for c in letters) / max(len(letters), 1),
+                1.0 if text.isupper() else sum(map(str.isupper, initials)) / len(initials) / 2,
                 j == 0 or j + 1 == len(at),
                 text[0].islower() and numbers[j] is None,
                 near_number,
@@ -371,44 +382,64 @@ def train(samples: list[tuple[str, str, str]], trusted: dict[str, int], seed: in
 # ---- reading pages -------------------------------------------------------------------------------
 
 
-def read_page(text: str, title: str, authors: list[str], models: Models) -> tuple[list[tuple[int, str, str, str]], list[str], set[int]]:
-    """(cases, lines, furniture line indexes).  Cases: (line_no, kind, word, reading): furniture; split
-    with the whole word; rare with a word outside the trusted ones and its reading where the text itself
-    tells it, else ''."""
-    lines = text.split("\n")
-    at, features = line_features(lines, title, authors)
-    trusted = models.trusted
-    cases: list[tuple[int, str, str, str]] = []
-    furniture: set[int] = set()
-    if len(at) > 1 and (features[:, :4].any() or len(at) > 4):
-        likely = models.line.predict(features) >= FURNITURE
-        furniture = {i for i, f in zip(at, likely, strict=True) if f}
-        cases += [(i + 1, "furniture", "", "") for i in sorted(furniture)]
+def _is_page(lines: list[str]) -> bool:
+    """Whether a text is set in short lines most of which end inside a sentence."""
+    text = [s for s in (x.rstrip() for x in lines) if s]
+    return len(text) > 1 and max(map(len, text)) <= 160 and sum(s[-1] in ".!?。！？؟" for s in text) < 0.6 * len(text)
+
+
+def read_pages(pages: list[tuple[str, str, list[str]]], models: Models) -> list[tuple[list[tuple[int, str, str, str]], list[str], set[int]]]:
+    """Of each (text, title, authors): (cases, lines, furniture line indexes).  Cases: (line_no, kind,
+    word, reading): furniture; split with the whole word; rare with a word outside the trusted ones and
+    its reading where the text itself tells it, else ''."""
+    set_out = [text.split("\n") for text, _, _ in pages]
+    # A paragraph to a line is no page of a scan: such texts have no furniture and no split words.
+    paged = [_is_page(lines) for lines in set_out]
+    features = [line_features(lines, title, authors) if is_page else ([i for i, x in enumerate(lines) if x.strip()], None) for lines, (_, title, authors), is_page in zip(set_out, pages, paged, strict=True)]
+    stacked = [f for _, f in features if f is not None and len(f)]
+    likely = iter(models.line.predict(np.vstack(stacked)) >= FURNITURE if stacked else [])
+    flagged = [{i for i in at if next(likely)} if f is not None else set() for at, f in features]
+    # A few lines of which none repeats or bears a number are no page.
+    furniture = [found if f is not None and len(f) and (len(at) > 4 or f[:, :4].any()) else set() for found, (at, f) in zip(flagged, features, strict=True)]
+    drafts = [_draft(lines, at, skip, is_page, models.trusted) for lines, (at, _), skip, is_page in zip(set_out, features, furniture, paged, strict=True)]
+    facts = [f for _, pending, _ in drafts for *_, f in pending]
+    joins = iter(models.join.predict(np.array(facts)) if facts else [])
+    return [(_cases(skip, draft, joins, models.trusted), lines, skip) for lines, skip, draft in zip(set_out, furniture, drafts, strict=True)]
+
+
+def _draft(lines, at, furniture, is_page, trusted):
+    """(rare words, split words with their features, whether it is a page) of one text."""
     text_lines = [i for i in at if i not in furniture]
     rare: list[tuple[int, str]] = []
     carried = False
-    pending, facts = [], []
+    pending = []
     for k, i in enumerate(text_lines):
         line = lines[i].rstrip()
-        tokens = [t for t in _DASHES.split(line.lower()) if t]
+        tokens = line.lower().replace("—", " ").replace("–", " ").split()
         if carried and tokens:
             tokens = tokens[1:]
         carried = False
-        if tokens and line[-1] in _HYPHENS and len(line) > 1 and line[-2].isalnum() and k + 1 < len(text_lines):
+        if is_page and tokens and line[-1] in _HYPHENS and len(line) > 1 and line[-2].isalnum() and k + 1 < len(text_lines):
             following = lines[text_lines[k + 1]].lower().split()
-            first = _EDGE.sub("", tokens[-1])
-            second = _EDGE.sub("", _DASHES.split(following[0])[0]) if following else ""
+            first = tokens[-1].strip(_SIGNS)
+            second = re.split("[—–]", following[0])[0].strip(_SIGNS) if following else ""
             if first and second:
-                pending.append((i + 1, first, second))
-                facts.append(join_features(first, second, line[-1], trusted))
+                pending.append((i + 1, first, second, join_features(first, second, line[-1], trusted)))
                 tokens = tokens[:-1]
                 carried = True
         for t in tokens:
-            w = _EDGE.sub("", t)
+            w = t.strip(_SIGNS)
             if w and w not in trusted and len(w) > 1 and not w.isdigit() and any(c.isalpha() for c in w):
                 rare.append((i + 1, w))
+    return rare, pending, is_page
+
+
+def _cases(furniture, draft, joins, trusted):
+    rare, pending, _ = draft
+    cases = [(i + 1, "furniture", "", "") for i in sorted(furniture)]
     if pending:
-        for (number, first, second), p in zip(pending, models.join.predict(np.array(facts)), strict=True):
+        for number, first, second, _ in pending:
+            p = next(joins)
             joined, hyphened = first + second, f"{first}-{second}"
             if joined in trusted and trusted[joined] >= trusted.get(hyphened, 0):
                 word = joined
@@ -430,7 +461,12 @@ def read_page(text: str, title: str, authors: list[str], models: Models) -> tupl
                         reading = other
                         break
             cases.append((number, "rare", w, reading))
-    return cases, lines, furniture
+    return cases
+
+
+def _in_paragraphs(text: str) -> bool:
+    """A text set in short lines may be a scanned page; one with a paragraph to a line is not."""
+    return max(map(len, text.split("\n"))) > 160
 
 
 _CASES = "rec_no bigint, line_no int, kind string, word string, reading string"
@@ -455,7 +491,7 @@ def candidates(rare: DataFrame, vocabulary: DataFrame) -> DataFrame:
     asked = sized(rare.select("word", F.lit(0).cast("bigint").alias("n"))).select("word", "gram")
     near = F.abs(F.length("word") - F.length("other")) <= 2
     met = asked.join(known, "gram").where(near).groupBy("word", "other").agg(F.count(F.lit(1)).alias("shared"), F.max("df").alias("df"))
-    return met.where(F.col("shared") >= F.greatest(F.lit(1), F.floor((F.length("other") - 2) / 2))).select("word", "other", "df")
+    return met.where(F.col("shared") >= F.greatest(F.lit(1), F.length("other") - F.when(F.length("other") <= 8, 3).otherwise(6))).select("word", "other", "df")
 
 
 def read_scans(docs: DataFrame, text: str = "fulltext") -> DataFrame:
@@ -469,33 +505,31 @@ def read_scans(docs: DataFrame, text: str = "fulltext") -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("rec_no").cast("bigint").alias("rec_no"), "title", "authors", "abstract", F.col(f"`{text}`").alias("text")).where("rec_no is not null")
     texts = rows.where("length(text) > 0")
-    # A text set in short lines may be a scanned page; one with a paragraph to a line is not.
-    damaged = ~F.col("text").rlike(r"[^\n]{160}")
-    clean = rows.select(F.explode(F.array("abstract", F.when(~damaged, F.col("text")))).alias("t")).where("length(t) > 0")
+    clean = rows.select("abstract", "text").where("length(abstract) > 0 or length(text) > 0")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen: Counter = Counter()
-            for t in pdf["t"]:
+            texts = [t for t in pdf["abstract"] if t] + [t for t in pdf["text"] if t and _in_paragraphs(t)]
+            for t in texts:
                 seen.update(set(words(t)))
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values()), "texts": 0})
-            yield pd.DataFrame({"word": [""], "n": [0], "texts": [len(pdf)]})
+            yield pd.DataFrame({"word": [""], "n": [0], "texts": [len(texts)]})
 
     counted = materialize(clean.mapInPandas(count, "word string, n bigint, texts bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "words")
     total = counted.where("word = ''").agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
     least = max(TRUST_LEAST, int(total * TRUST_SHARE))
     vocabulary = counted.where((F.col("n") >= least) & (F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).select("word", "n")
     trusted = {r["word"]: r["n"] for r in vocabulary.collect()}
-    usable = texts.where(~damaged & (F.length("text") > 400) & F.col("text").rlike("[A-Za-z]{3}") & ~F.col("text").rlike(r"\p{IsHan}|\p{IsHangul}"))
+    some = F.pmod(F.xxhash64("rec_no"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE_TEXTS * 40 / max(total, 1)))
+    usable = texts.where(some).where(F.col("text").rlike(r"[^\n]{160}") & (F.length("text") > 400) & F.col("text").rlike("[A-Za-z]{3}") & ~F.col("text").rlike(r"\p{IsHan}|\p{IsHangul}"))
     drawn = usable.select(F.substring("text", 1, 6000).alias("text"), "title", F.get("authors", F.lit(0)).alias("author"), F.xxhash64("rec_no").alias("u")).orderBy("u").limit(SAMPLE_TEXTS).collect()
     models = spark.sparkContext.broadcast(train([(r["text"], r["title"] or "", r["author"] or "") for r in drawn], trusted))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = []
-            for rec, title, authors, t in zip(pdf["rec_no"], pdf["title"], pdf["authors"], pdf["text"], strict=True):
-                names = [a for a in authors if a] if authors is not None else []
-                found += [(rec, *c) for c in read_page(t, title or "", names, models.value)[0]]
+            pages = [(t, title or "", [a for a in authors if a] if authors is not None else []) for t, title, authors in zip(pdf["text"], pdf["title"], pdf["authors"], strict=True)]
+            found = [(rec, *c) for rec, (cases, _, _) in zip(pdf["rec_no"], read_pages(pages, models.value), strict=True) for c in cases]
             yield pd.DataFrame(found, columns=["rec_no", "line_no", "kind", "word", "reading"])
 
     cases = materialize(texts.select("rec_no", "title", "authors", "text").mapInPandas(read, _CASES), "cases")
