@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.history import History
 from tessera.llm.langid import label_languages, mislabelled
+from tessera.llm.languages import NAMES
 from tessera.llm.mixing import mix, shares, source_rates
 from tessera.llm.neighbours import nearest, pairs, vectors
 from tessera.llm.packing import pack, pieces
@@ -96,4 +97,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p2_found, p4_found, p5_found, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
 
-ORACLES: dict[str, str] = {}
+
+def _language_sql(c: str) -> str:
+    tests = " ".join(f"WHEN x IN ({', '.join(repr(n) for n in (code, *names))}) THEN '{code}'" for code, names in NAMES.items())
+    return f"(SELECT CASE {tests} END FROM (SELECT regexp_extract(lower(trim({c})), '^[^-_]*') AS x))"
+
+
+def _name_sql(c: str) -> str:
+    stripped = f"regexp_replace({c}, '^[\\s\\x{{a0}}\\x{{3000}}]+|[\\s\\x{{a0}}\\x{{3000}}]+$', '', 'g')"
+    return f"regexp_replace(lower({stripped}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '_', 'g')"
+
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH e AS (SELECT entry_id, any_value(run_id) AS run_id, any_value(tradition) AS tradition, any_value(language) AS language, any_value("count") AS n FROM manifest GROUP BY 1),
+k AS (SELECT run_id, 'tradition' AS kind, {_name_sql('tradition')} AS key, n FROM e WHERE n > 0 UNION ALL SELECT run_id, 'language', {_language_sql('language')}, n FROM e WHERE n > 0),
+s AS (SELECT run_id, kind, key, sum(n) AS supply FROM k WHERE key IS NOT NULL GROUP BY ALL),
+t AS (SELECT run_id, kind, category, greatest(min_rows, (share_bp * sample_size::BIGINT + 9999) // 10000) AS need, CASE WHEN kind = 'language' THEN {_language_sql('category')} ELSE {_name_sql('category')} END AS key FROM runs, coverage_targets)
+SELECT t.run_id, t.kind, t.category, (need - coalesce(supply, 0))::BIGINT AS missing FROM t LEFT JOIN s USING (run_id, kind, key) WHERE coalesce(supply, 0) < need""",
+    "p4_found": " UNION ALL ".join(
+        f"""SELECT DISTINCT '{f}' AS facet, least(a, b) AS concept_a, greatest(a, b) AS concept_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM (
+SELECT x.concept_id AS a, y.concept_id AS b, round(list_cosine_similarity(x.{f}, y.{f}), 6) AS sim FROM (SELECT DISTINCT concept_id, {f} FROM facets WHERE len({f}) = 64 AND list_aggregate(list_transform({f}, lambda v: abs(v)), 'max') > 0) x
+JOIN (SELECT DISTINCT concept_id, {f} FROM facets WHERE len({f}) = 64 AND list_aggregate(list_transform({f}, lambda v: abs(v)), 'max') > 0) y ON x.concept_id <> y.concept_id)) WHERE r <= 5"""
+        for f in ("definition", "usage", "relational")
+    ),
+}
