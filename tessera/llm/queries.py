@@ -13,7 +13,7 @@ from tessera.llm.neighbours import nearest, pairs, vectors
 from tessera.llm.packing import pack, pieces
 from tessera.llm.proportions import sample_to_targets
 from tessera.llm.residue import residue
-from tessera.llm.scans import read_scans
+from tessera.llm.scans import read_scans, repair
 from tessera.storage import read_table
 
 CAPACITY = 4096
@@ -72,6 +72,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec_no", F.explode("segments").alias("s")).select("rec_no", "s.segment_no", "s.lang")
 
 
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_no, text): full texts as continuous paragraphs."""
+    raw = read_table(spark, sf_dir, "raw_documents")
+    return repair(raw, read_scans(raw))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(facet, concept_a, concept_b): pairs of which either is among the other's five nearest."""
     vecs = vectors(read_table(spark, sf_dir, "facets"), "concept_id", ["definition", "usage", "relational"], 64)
@@ -95,7 +101,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec_no", "line_no", "kind", "word").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p2_found, p4_found, p5_found, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p2_found, p2_repaired, p4_found, p5_found, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
 
 
 def _language_sql(c: str) -> str:

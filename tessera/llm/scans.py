@@ -549,3 +549,70 @@ def read_scans(docs: DataFrame, text: str = "fulltext") -> DataFrame:
     split = read_words.where("kind = 'split'").select("rec_no", "line_no", "kind", F.coalesce(reading, F.col("word")).alias("word"), F.col("word").alias("wrong"))
     furniture = cases.where("kind = 'furniture'").select("rec_no", "line_no", "kind", "word", F.lit("").alias("wrong"))
     return furniture.unionByName(split).unionByName(misread).distinct()
+
+
+def _like(model: str, word: str) -> str:
+    """``word`` with the capitals of ``model``."""
+    if model.isupper() and len(model) > 1:
+        return word.upper()
+    return word[:1].upper() + word[1:] if model[:1].isupper() else word
+
+
+def repair_text(text: str, cases: list[tuple[int, str, str, str]]) -> str:
+    """The text in paragraphs, one to a line with a blank line between, without furniture, with split
+    words whole and misread words replaced.  Cases: (line_no, kind, word, wrong)."""
+    furniture = {n for n, kind, _, _ in cases if kind == "furniture"}
+    splits = {n: word for n, kind, word, _ in cases if kind == "split"}
+    readings: dict[int, dict[str, str]] = {}
+    for n, kind, word, wrong in cases:
+        if kind == "misread":
+            readings.setdefault(n, {})[wrong] = word
+    paragraphs: list[list[str]] = [[]]
+    whole, blank = None, False
+    lines = text.split("\n")
+    page = _is_page(lines)
+    for n, line in enumerate(lines, 1):
+        if n in furniture:
+            continue
+        tokens = line.split()
+        if not tokens:
+            blank = True
+            continue
+        last = paragraphs[-1][-1] if paragraphs[-1] else ""
+        open_end = whole is not None or (page and last and last[-1] not in ".!?:。！？" and tokens[0][0].islower())
+        if paragraphs[-1] and not open_end and (not page or blank or line[:2] == "  "):
+            paragraphs.append([])
+        blank = False
+        known = readings.get(n, {})
+        for i, t in enumerate(tokens):
+            bare = t.strip(_SIGNS)
+            if bare.lower() in known:
+                tokens[i] = t.replace(bare, _like(bare, known[bare.lower()]), 1)
+        if whole is not None:
+            head, tail = whole
+            bare = tokens[0].strip(_SIGNS)
+            after = tokens[0][tokens[0].find(bare) + len(bare) :] if bare else ""
+            tokens[0] = head + tail + after
+            whole = None
+        if n in splits:
+            broken = tokens.pop()
+            bare = broken.strip(_SIGNS)
+            whole = (broken[: broken.find(bare)] if bare else "", _like(bare, splits[n]))
+        paragraphs[-1] += tokens
+    if whole is not None:
+        paragraphs[-1].append("".join(whole))
+    return "\n\n".join(" ".join(p) for p in paragraphs if p)
+
+
+def repair(docs: DataFrame, found: DataFrame, text: str = "fulltext") -> DataFrame:
+    """(rec_no, text): repaired texts by the cases of ``read_scans``; texts without cases are set in
+    paragraphs as they are, null texts give no row."""
+    cases = found.groupBy("rec_no").agg(F.collect_list(F.struct("line_no", "kind", "word", "wrong")).alias("cases"))
+    rows = docs.select(F.col("rec_no").cast("bigint").alias("rec_no"), F.col(f"`{text}`").alias("text")).where("rec_no is not null and text is not null")
+
+    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            mended = [repair_text(t, [(c["line_no"], c["kind"], c["word"], c["wrong"]) for c in (cs if cs is not None else [])]) for t, cs in zip(pdf["text"], pdf["cases"], strict=True)]
+            yield pd.DataFrame({"rec_no": pdf["rec_no"], "text": mended})
+
+    return rows.join(cases, "rec_no", "left").mapInPandas(mend, "rec_no bigint, text string")

@@ -229,3 +229,10 @@ def test_scanned_pages(spark):
     want = {(1 + 6 * k, "split", "argument") for k in range(3)} | {(2 + 6 * k, "furniture", "") for k in range(3)} | {(4 + 6 * k, "misread", "meaning") for k in range(3)} | {(5 + 6 * k, "misread", "teacher") for k in range(3)}
     assert got == want and not [r for r in found if r.rec_no in (901, 902, 903)]
     assert sum(r.rec_no < 900 for r in found) == 0
+
+
+def test_repair_text():
+    page = "Head of page   12\n    The argu-\nment of the rneaning\n\n13\nof Self-know-\nledge ends.\n\n    A new one"
+    cases = [(1, "furniture", "", ""), (2, "split", "argument", "argument"), (3, "misread", "meaning", "rneaning"), (5, "furniture", "", ""), (6, "split", "self-knowledge", "self-knowledge")]
+    assert scans.repair_text(page, cases) == "The argument of the meaning of Self-knowledge ends.\n\nA new one"
+    assert scans.repair_text("", []) == "" and scans.repair_text("one line", []) == "one line"
