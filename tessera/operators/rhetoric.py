@@ -166,7 +166,9 @@ def relevance(docs: DataFrame, title: str, abstract: str, lang: str, keywords: l
     keywords, native = keywords or L.KEYWORDS_EN, L.KEYWORDS if native is None else native
     excluded, traditions = excluded or L.EXCLUDED_DOMAINS, L.TRADITION_PATTERNS if traditions is None else traditions
     low = lambda c: F.lower(F.coalesce(F.col(f"`{c}`"), F.lit("")))
-    text = F.concat(low(title), F.lit(" "), low(abstract))
+    # The text is a column of its own, so that it is built once and not for every pattern.
+    docs = docs.withColumn("__text", F.concat(low(title), F.lit(" "), low(abstract)))
+    text = F.col("__text")
     code = F.coalesce(F.col(f"`{lang}`"), F.lit("unknown"))
     count = lambda words: reduce(lambda a, b: a + b, [F.contains(text, F.lit(w.lower())).cast("int") for w in words], F.lit(0))
     own = F.lit(0)
@@ -184,7 +186,7 @@ def relevance(docs: DataFrame, title: str, abstract: str, lang: str, keywords: l
     named = F.array_compact(F.array(*[F.when(matched(ps), F.lit(t)) for t, ps in traditions.items()])) if traditions else F.array().cast("array<string>")
     total = F.least(hits * 10, F.lit(50)) + base - F.when(barred, 30).otherwise(0) + F.when(F.length(low(abstract)) > 200, 10).otherwise(0)
     scored = docs.drop("score", "excluded", "traditions", "is_core").withColumns({"excluded": barred, "traditions": named, "__total": total})
-    scored = scored.withColumn("score", F.greatest(F.lit(0), F.col("__total") + 15 * F.size("traditions"))).drop("__total")
+    scored = scored.withColumn("score", F.greatest(F.lit(0), F.col("__total") + 15 * F.size("traditions"))).drop("__total", "__text")
     return scored.withColumn("is_core", (F.col("score") >= 40) & ~F.col("excluded"))
 
 
