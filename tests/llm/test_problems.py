@@ -140,6 +140,20 @@ def test_history_batches_agree(spark):
     assert works_of(spark, rows, [(0, 0), (1, 1), (2, 2), (3, 9)]) == truth
 
 
+def test_history_meets_without_title_start_or_author(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 9)))
+    rows, truth = [], set()
+    for w in range(10):
+        title, abstract = " ".join(word() for _ in range(8)), " ".join(word() for _ in range(60))
+        rows.append((w, 0, f"https://x.example/W{1000 + w}", title, [f"Ann {word()}x{w}"], 1990, abstract, ""))
+        # A slip among the first letters, no authors, another id: they meet in the abstract alone.
+        rows.append((100 + w, 1, f"https://y.example/V{5000 + w}", title[:4] + "q" + title[5:], None, 1990, abstract, ""))
+        truth.add((w, 100 + w))
+    assert works_of(spark, rows, [(0, 0), (1, 1)]) == truth
+    assert works_of(spark, rows, [(0, 1)]) == truth
+
+
 def test_keys():
     assert history.id_key("https://works.example/W0003432405/") == history.id_key(" W0003432405") == "w0003432405"
     assert {history.id_key(x) for x in (None, "", "N/A", "id:0", "W0000000000", "unknown")} == {None}
