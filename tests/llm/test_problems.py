@@ -154,6 +154,23 @@ def test_history_meets_without_title_start_or_author(spark):
     assert works_of(spark, rows, [(0, 1)]) == truth
 
 
+def test_history_compares_all_under_a_key(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 9)))
+    title = "Collected papers on the history of thought"
+    rows, truth = [], set()
+    for w in range(90):
+        abstract = " ".join(word() for _ in range(60))
+        # Slips so dense that no long run is left: only the title that all have in common meets.
+        slipped = list(abstract)
+        for i in range(15, len(slipped), 34):
+            slipped[i] = "q"
+        rows.append((w, 0, None, title, [f"Ann {word()}x{w}"], 1900 + w, abstract, ""))
+        rows.append((100 + w, 1, None, title, None, None, "".join(slipped), ""))
+        truth.add((w, 100 + w))
+    assert works_of(spark, rows, [(0, 1)]) == truth
+
+
 def test_keys():
     assert history.id_key("https://works.example/W0003432405/") == history.id_key(" W0003432405") == "w0003432405"
     assert {history.id_key(x) for x in (None, "", "N/A", "id:0", "W0000000000", "unknown")} == {None}
