@@ -41,6 +41,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
+def list_paths(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder, or the path of a file itself; a missing path holds nothing."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().toString() for s in system.listStatus(target)] if system.exists(target) else []
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table that ``new_path`` placed; missing paths are fine."""
     jvm = spark.sparkContext._jvm
