@@ -87,11 +87,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kept_rec_no, rec_no): records of works already held, with the record that was kept.
 
-    The accepted history is ingested first, then the new batches together, in order of arrival."""
+    The accepted history and then every batch is ingested on its own, in order of arrival; records
+    without a batch come last."""
     raw = read_table(spark, sf_dir, "raw_documents")
-    history = History()
-    for batch in (raw.where("batch_no = 0"), raw.where("batch_no > 0 or batch_no is null")):
-        history.ingest(batch)
+    history = History(spark)
+    numbers = [r["batch_no"] for r in raw.select("batch_no").distinct().collect()]
+    for number in sorted(numbers, key=lambda n: (n is None, n)):
+        history.ingest(raw.where(F.col("batch_no").eqNullSafe(F.lit(number))))
     return history.works()
 
 

@@ -113,9 +113,11 @@ RAW = "rec_no bigint, batch_no int, id string, title string, authors array<strin
 
 def works_of(spark, rows, batches):
     df = spark.createDataFrame(rows, RAW)
-    store = history.History()
+    store = history.History(spark)
     for low, high in batches:
         store.ingest(df.where(F.col("batch_no").between(low, high)))
+        # The store is its folder: every batch opens it again.
+        store = history.History(spark, store.path)
     return {(r.kept_rec_no, r.rec_no) for r in store.works().collect()}
 
 
