@@ -9,13 +9,18 @@ unset (local tests) a temporary folder of this machine is used instead.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Paths handed out inside each open ``scratch``.
+_SCRATCH: list[list[str]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one table in the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are removed at the end, and shuffles that nothing refers to any
+    more with them: what is to stay must have been written elsewhere by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            drop_path(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def list_paths(spark: SparkSession, path: str) -> list[str]:
