@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.history import History
 from tessera.llm.langid import label_languages, mislabelled
 from tessera.llm.languages import NAMES
-from tessera.llm.mixing import mix, shares, source_rates
+from tessera.llm.mixing import shares, sized, source_rates
 from tessera.llm.neighbours import nearest, pairs, vectors
 from tessera.llm.packing import pack, pieces
 from tessera.llm.proportions import sample_to_targets
@@ -29,9 +29,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers drawn from each entry: run_id, kind, category, entry_id, papers."""
-    sample = _sampled(spark, sf_dir)[0]
-    return sample.groupBy("run_id", "kind", "category", "entry_id").agg(F.count(F.lit(1)).alias("papers"))
+    """Papers drawn from each entry: run_id, tradition, language, entry_id, papers."""
+    return _sampled(spark, sf_dir)[0].fillna("", ["tradition", "language"])
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, kind, category, need, supply, filled): how far the sample fills each target."""
+    return _sampled(spark, sf_dir)[1].select("run_id", "kind", "category", "need", "supply", F.least("need", "drawn").alias("filled"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,15 +53,14 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source): sources that miss their weight even at full repetition."""
-    rates = source_rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_weights"))
+    rates = source_rates(sized(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "mix_weights"))
     return rates.where("short").select("source")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mixture reached per source."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rates = source_rates(docs, read_table(spark, sf_dir, "mix_weights"))
-    return shares(mix(docs, rates), rates)
+    """What the mixtures reach per source."""
+    counted = sized(read_table(spark, sf_dir, "documents"))
+    return shares(counted, source_rates(counted, read_table(spark, sf_dir, "mix_weights")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +106,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec_no", "line_no", "kind", "word").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p2_found, p2_repaired, p4_found, p5_found, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sample, p1_report, p2_found, p2_repaired, p4_found, p5_found, p6_found, p8_found, p8_containers, p9_found, p9_shares, p10_found)}
 
 
 def _language_sql(c: str) -> str:
@@ -116,12 +119,14 @@ def _name_sql(c: str) -> str:
     return f"regexp_replace(lower({stripped}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '_', 'g')"
 
 
-ORACLES: dict[str, str] = {
-    "p1_found": f"""WITH e AS (SELECT entry_id, any_value(run_id) AS run_id, any_value(tradition) AS tradition, any_value(language) AS language, any_value("count") AS n FROM manifest GROUP BY 1),
+_SUPPLY_SQL = f"""WITH e AS (SELECT entry_id, any_value(run_id) AS run_id, any_value(tradition) AS tradition, any_value(language) AS language, any_value("count") AS n FROM manifest GROUP BY 1),
 k AS (SELECT run_id, 'tradition' AS kind, {_name_sql('tradition')} AS key, n FROM e WHERE n > 0 UNION ALL SELECT run_id, 'language', {_language_sql('language')}, n FROM e WHERE n > 0),
 s AS (SELECT run_id, kind, key, sum(n) AS supply FROM k WHERE key IS NOT NULL GROUP BY ALL),
-t AS (SELECT run_id, kind, category, greatest(min_rows, (share_bp * sample_size::BIGINT + 9999) // 10000) AS need, CASE WHEN kind = 'language' THEN {_language_sql('category')} ELSE {_name_sql('category')} END AS key FROM runs, coverage_targets)
-SELECT t.run_id, t.kind, t.category, (need - coalesce(supply, 0))::BIGINT AS missing FROM t LEFT JOIN s USING (run_id, kind, key) WHERE coalesce(supply, 0) < need""",
+t AS (SELECT run_id, kind, category, greatest(min_rows, (share_bp * sample_size::BIGINT + 9999) // 10000) AS need, CASE WHEN kind = 'language' THEN {_language_sql('category')} ELSE {_name_sql('category')} END AS key FROM runs, coverage_targets)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"{_SUPPLY_SQL} SELECT t.run_id, t.kind, t.category, (need - coalesce(supply, 0))::BIGINT AS missing FROM t LEFT JOIN s USING (run_id, kind, key) WHERE coalesce(supply, 0) < need",
+    "p1_report": f"{_SUPPLY_SQL} SELECT t.run_id, t.kind, t.category, need::BIGINT AS need, coalesce(supply, 0)::BIGINT AS supply, least(need, coalesce(supply, 0))::BIGINT AS filled FROM t LEFT JOIN s USING (run_id, kind, key)",
     "p4_found": " UNION ALL ".join(
         f"""SELECT DISTINCT '{f}' AS facet, least(a, b) AS concept_a, greatest(a, b) AS concept_b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM (
 SELECT x.concept_id AS a, y.concept_id AS b, round(list_cosine_similarity(x.{f}, y.{f}), 6) AS sim FROM (SELECT DISTINCT concept_id, {f} FROM facets WHERE len({f}) = 64 AND list_aggregate(list_transform({f}, lambda v: abs(v)), 'max') > 0) x

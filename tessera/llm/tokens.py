@@ -15,10 +15,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern published with this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Pieces longer than this are cut before encoding, so that one endless word costs linear time.
-_LONG = 4000
-
-
 @functools.cache
 def _encoding(path: str):
     import base64
@@ -34,23 +30,12 @@ def count(text: str | None, path: str = TOKENIZER) -> int:
     """Tokens of one text; none for null."""
     if not text:
         return 0
-    encode = _encoding(path).encode_ordinary
-    if len(text) <= _LONG:
-        return len(encode(text))
-    total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + _LONG)
-        if end < len(text):
-            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = cut if cut > at else end
-        total += len(encode(text[at:end]))
-        at = end
-    return total
+    return len(_encoding(path).encode_ordinary(text))
 
 
 def token_count(text: Column, path: str = TOKENIZER) -> Column:
-    """Number of tokens of ``text`` as int; 0 for null or empty.  Texts are counted whole; very long
-    ones are encoded in stretches cut at blanks."""
+    """Number of tokens of ``text`` as int; 0 for null or empty.  Texts of any length are
+    encoded whole, in time that grows with the length."""
 
     @F.pandas_udf("int")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

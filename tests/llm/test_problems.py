@@ -29,8 +29,35 @@ def test_sample_to_targets(spark):
     assert got["r", "daoism"] == (25, 30, 25, 0) and got["r", "en"] == (60, 500, 60, 0) and got["r", "de"] == (40, 0, 0, 40)
     assert got["empty", "daoism"] == (10, 0, 0, 10) and len(got) == 6
     drawn = sample.collect()
-    assert len({(r.kind, r.entry_id, r.paper) for r in drawn}) == len(drawn) == 85
+    assert {(r.entry_id, r.tradition, r.language, r.papers) for r in drawn if r.entry_id == 3} == {(3, None, "en", 60)}
+    assert sum(r.papers for r in drawn if r.tradition) == 25 and sum(r.papers for r in drawn) == 85
     assert proportions.sample_to_targets(entries.limit(0), runs, targets)[1].where("drawn > 0").count() == 0
+    assert proportions.sample_to_targets(entries, runs.limit(0), targets)[1].count() == 0
+
+
+def test_quotas_fill_every_need():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = rng.integers(1, 7), rng.integers(1, 5)
+        cells = rng.integers(0, 40, (a + 1, b + 1)) * (rng.random((a + 1, b + 1)) < 0.7)
+        first, second = rng.integers(0, 80, a), rng.integers(0, 80, b)
+        take = proportions.quotas(cells, first, second)
+        assert (take >= 0).all() and (take <= cells).all()
+        assert (take[:-1].sum(1) >= np.minimum(first, cells[:-1].sum(1))).all()
+        assert (take[:, :-1].sum(0) >= np.minimum(second, cells[:, :-1].sum(0))).all()
+    # Enough papers that name both: nothing is drawn beyond either need.
+    take = proportions.quotas(np.full((3, 3), 1000), np.array([60, 40]), np.array([70, 30]))
+    assert take.sum() == 100 and take[:-1].sum(1).tolist() == [60, 40] and take[:, :-1].sum(0).tolist() == [70, 30]
+
+
+def test_binomial_is_one():
+    import pandas as pd
+
+    u = pd.Series(np.random.default_rng(5).random(20_000))
+    for n, p in ((30, 0.2), (30, 0.9), (100_000, 0.3), (5, 1.0), (1_000_000, 1e-5)):
+        k = proportions._binomial(pd.Series([n] * len(u)), pd.Series([p] * len(u)), u)
+        assert abs(k.mean() - n * p) < 5 * np.sqrt(n * p * (1 - p) / len(u)) + 1e-9 and k.between(0, n).all()
+        assert abs(k.std() - np.sqrt(n * p * (1 - p))) <= 0.05 * np.sqrt(n * p) + 1e-9
 
 
 # ---- 8 packing, 9 mixing -------------------------------------------------------------------------
@@ -71,12 +98,23 @@ def test_token_counts_of_long_texts():
 def test_mix(spark):
     docs = spark.createDataFrame([(i, "a b c d", "s" if i < 20 else "t") for i in range(60)] + [(99, None, None)], "doc_id bigint, text string, source string")
     weights = spark.createDataFrame([("s", 5000, 2), ("t", 3000, 1), ("none", 100, 3)], "source string, weight_bp int, max_repeat int")
-    rates = {r.source: r for r in mixing.source_rates(docs, weights).collect()}
-    assert rates["s"].rate == pytest.approx(1.5) and not rates["s"].short and rates["none"].short and rates["none"].rate == 0
-    mixed = mixing.mix(docs, mixing.source_rates(docs, weights))
-    uses = Counter(r.doc_id for r in mixed.where("source = 's'").collect())
+    counted = mixing.sized(docs)
+    rates = mixing.source_rates(counted, weights)
+    by = {r.source: r for r in rates.collect()}
+    assert by["s"].full_rate == pytest.approx(1.5) and not by["s"].short and by["none"].short and by["none"].rate == 0
+    uses = Counter(r.doc_id for r in mixing.mix(docs, rates, rate="full_rate").where("source = 's'").collect())
     assert set(uses.values()) <= {1, 2} and len(uses) == 20
-    assert {r.source for r in mixing.shares(mixed, mixing.source_rates(docs, weights)).collect()} == {"s", "t", "none"}
+    assert {r.source for r in mixing.shares(counted, rates).collect()} == {"s", "t", "none"}
+    assert mixing.source_rates(counted.limit(0), weights).where("rate > 0").count() == 0
+
+
+def test_mix_keeps_weights_when_a_source_is_short(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "small" if i < 100 else "big") for i in range(4000)], "doc_id bigint, text string, source string")
+    weights = spark.createDataFrame([("small", 5000, 4), ("big", 5000, 4)], "source string, weight_bp int, max_repeat int")
+    counted = mixing.sized(docs)
+    got = {r.source: r for r in mixing.shares(counted, mixing.source_rates(counted, weights)).collect()}
+    assert got["small"].short and got["small"].docs == 400 and abs(got["big"].share_bp - 5000) < 600
+    assert got["small"].full_docs == 400 and got["big"].full_share_bp > 8000
 
 
 # ---- 4 neighbours --------------------------------------------------------------------------------
