@@ -1,22 +1,27 @@
 """Template residue, filler and error pages in texts.
 
-Three kinds of evidence, all gathered over every text:
-
-* slots in template syntax, the plain ones by their syntax alone, the ambiguous ones (``{x}``,
-  ``$x$``, ``__x__`` ...) only around a variable name that the plain ones show to be in use;
-* records of one template: short lines that agree in all tokens but one are aligned, and the open
-  token is a slot; lines whose slots hold variable names instead of values are residue;
-* messages and filler standing in a line of their own: known wordings, and lines repeated in several
-  different texts that use the vocabulary of page servers.
+Records of one template are aligned and their slots induced: a unit of text (a line or a sentence of
+it) becomes a frame in which numbers, names in code and words that few texts use are open, and units
+of one frame are records of one template.  A slot that others fill and one leaves with a variable
+name, a default or blank is residue, and so is a frame in which hardly anything but variable names
+stands.  Beside it pages of servers and generators are templates as wholes: a line that ends several
+different texts, stands in some of them with nothing but a heading, and is made of words that running
+text does not use.  What occurs once cannot be aligned; slots in template syntax, dummy text and a
+list of known wordings tell it.  Every unit of every text is looked at, however long.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.storage import materialize
+
 _NAME = r"[A-Za-z_][A-Za-z0-9_.]*"
 
 # Slot syntaxes of common template languages and the usual forms of defaults.
@@ -75,80 +80,235 @@ LATIN = (
 ).split()
 FILLER = "asdf asdfgh qwerty blah foo bar baz test text more xxx xxxx yyy zzz hello world sample".split()
 
-# Vocabulary of page servers, viewers and generators, for lines that recur.
-SERVER_WORDS = (
-    r"\b(?:page|site|browser|server|script|scripts|javascript|cookies?|url|http|https|error|access|login|log in|sign in|session|reload|refresh|load|loading|loaded|"
-    r"viewer|download|robot|captcha|request|requested|timeout|database|administrator|permission|ref|placeholder|template|stub|publishing|undefined|null|exception)\b|"
-    r"seite|página|страниц|ページ|页面|페이지|الصفحة|навигатор|браузер|ブラウザ|浏览器|브라우저|المتصفح|navigateur|navegador"
-)
+# What a known wording holds at least, in lower case; other units are not tried.
+CUES = (
+    "error|fehler|erreur|erro|ошибка|エラー|错误|오류|خطأ|status code|http|found|find|looking|requested|wrong|introuvable|gefunden|encontrad|не найдена|見つかりません|不存在|未找到|找不到|찾을 수 없|موجودة|العثور|"
+    "javascript|script|cookies|denied|permission|verweigert|refusé|denegado|negado|запрещ|拒否|拒绝|거부|رفض|robot|captcha|security check|checking your|session|log in|sign in|login|limit reached|subscri|database|administrator|"
+    "could not be|failed to load|traceback|exception|warning|notice|deprecated|stream|file|sample|placeholder|dummy|demo|filler|example|replace|in this box|stub|content|coming soon|available yet|auto-generated|under construction|"
+    "left blank|text here|title here|body here|abstract here|summary here|todo|blindtext|platzhalter|beispieltext|provisoire|exemple|factice|ejemplo|exemplo|provisional|provisório|provisorio|пример|здесь|ダミー|ここに|此处|这里|여기|예시|샘플|임시|"
+    "نص|مثال|object|null|undefined|nan|xxxx|forbidden|gateway|unavailable|gone|too many|unauthori|bad request|moved|whoops|oops|sorry|{"
+).split("|")
+
+# What generators put where a value is missing.
+DEFAULTS = {"tbd", "tba", "todo", "null", "undefined", "nan", "xxx", "untitled", "changeme", "fixme", "n/a"}
 
-#: A line in at least this many different texts is a template.
+#: A frame or line in at least this many different texts is a template.
 MIN_TEXTS = 3
-#: Longer lines are running text and no messages.
-LINE_CHARS = 300
-_TOKENS = 16
+#: A word is common when at least this share of the texts holds it, so there can be no more common
+#: words than (distinct words of a text) / share: the bound of what is broadcast.
+COMMON_SHARE, COMMON_LEAST = 0.0005, 3
+#: Share of its uses that a word of running text has in lines of several sentences.
+RUNNING = 0.5
+
+_SLOT = "\u25a2"
+_WORD = re.compile(r"[^\W_]+")
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_SENTENCE = re.compile(r"(?<=[.!?؟])\s+|(?<=[。！？])\s*")
+_CODED = re.compile(r"[{}\[\]<>«»$%@#_=0-9/]|[a-z][A-Z]|&[lg]t;")
+_WRAPPED = re.compile(rf"(?:\{{\{{?|\$\{{?|#\{{|%%?|@@|\[\[?|<%?=?|«|__|&lt;)\W*({_NAME}?)\W*(?:\}}|\$|%|@|\]|>|»|__|&gt;)\W*")
+_IDENTIFIER = re.compile(r"[A-Za-z]+(?:_[A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z0-9]*")
+_LABEL = re.compile(r"[^\W\d_][^:\n]{0,60}:")
+_EDGES = ".,;:!?\"'()…“”’‘、。，；：！？"
+_PLAIN = re.compile("|".join(f"(?:{p})" for p in PLAIN_SLOTS))
+_MESSAGE = re.compile("|".join(f"(?:{p})" for p in MESSAGES))
+_LATIN, _KEYS = set(LATIN), set(FILLER)
+
+
+def _bare(name: str) -> str:
+    return name.strip("._").lower()
+
+
+def words_of(unit: str) -> list[str]:
+    """Words in lower case; pairs of letters where words are not set apart."""
+    found = _WORD.findall(unit.lower())
+    if not _WIDE.search(unit):
+        return found
+    return [x for w in found for x in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if _WIDE.search(w) else [w])]
+
+
+def _units(text: str) -> list[tuple[str, list[str]]]:
+    """The lines that are not blank, each with its sentences."""
+    lines = [x.strip() for x in re.split(r"[\r\n]+", text)]
+    return [(x, [y for y in _SENTENCE.split(x) if y]) for x in lines if x]
+
+
+class Lexicon:
+    """Common words, those of running text among them, and variable names in use."""
+
+    def __init__(self, common: set[str], running: set[str], names: set[str]):
+        self.common, self.running, self.names = common, running, names
+
+    def is_running(self, words: list[str]) -> bool:
+        known = [w for w in words if w in self.common and w not in self.names]
+        return bool(known) and sum(w in self.running for w in known) > len(known) / 2
 
+    def frame(self, unit: str) -> tuple[str, list[tuple[str, str]]]:
+        """(frame, values): each value with its kind: name (by its form), word (a variable name in use
+        that is also a word), default or value."""
+        words = words_of(unit)
+        plain = self.is_running(words)
+        common, names = self.common, self.names
+        if not _CODED.search(unit):
+            tokens = [(w, "" if w in common and (plain or w not in names) and w not in DEFAULTS else "default" if w in DEFAULTS else "word" if w in names and not plain else "value") for w in words]
+        else:
+            tokens = []
+            for chunk in unit.split():
+                core = chunk.strip(_EDGES)
+                if (m := _WRAPPED.fullmatch(chunk)) and m.group(1):
+                    tokens.append((_bare(m.group(1)), "name"))
+                elif core.lower() in DEFAULTS:
+                    tokens.append((core.lower(), "default"))
+                elif _IDENTIFIER.fullmatch(core) and (core.lower() not in common or "_" in core):
+                    tokens.append((core.lower(), "name"))
+                else:
+                    for w in words_of(core):
+                        fixed = w in common and (plain or w not in names) and not w.isdigit()
+                        tokens.append((w, "" if fixed else "word" if w in names and not plain else "value"))
+        fixed, values = [], []
+        for w, kind in tokens:
+            if not kind:
+                fixed.append(w)
+            elif fixed and fixed[-1] == _SLOT:
+                old, old_kind = values[-1]
+                values[-1] = (f"{old} {w}", old_kind if old_kind == kind else "value")
+            else:
+                fixed.append(_SLOT)
+                values.append((w, kind))
+        return " ".join(fixed), values
 
-def _any(patterns: list[str]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
 
+def _is_filler(unit: str) -> bool:
+    words = _WORD.findall(unit.lower())
+    latin, keys = sum(w in _LATIN for w in words), sum(w in _KEYS for w in words)
+    return (latin >= 5 and latin * 2 >= len(words)) or (keys >= 3 and keys * 10 >= len(words) * 9 and ("asdf" in words or "blah" in words or "xxx" in words))
 
-def _names(text: Column, patterns: list[str]) -> Column:
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]
-    return F.array_distinct(F.transform(F.filter(F.concat(*found), lambda n: n != ""), F.lower))
 
+def _cue_automaton():
+    import ahocorasick
 
-def _filler(line: Column) -> Column:
-    words = F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda w: w != "")
-    latin = F.size(F.filter(words, lambda w: F.array_contains(F.array(*map(F.lit, LATIN)), w)))
-    keys = F.size(F.filter(words, lambda w: F.array_contains(F.array(*map(F.lit, FILLER)), w)))
-    maybe = line.rlike(r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|veniam|tempor|incididunt|labore|nostrud|asdf|asdfgh|qwerty|blah|xxx)\b")
-    return maybe & (((latin >= 5) & (latin * 2 >= F.size(words))) | ((keys >= 3) & (keys * 10 >= F.size(words) * 9)))
+    automaton = ahocorasick.Automaton()
+    for cue in CUES:
+        automaton.add_word(cue, cue)
+    automaton.make_automaton()
+    return automaton
+
+
+def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(kind, word, n, running): texts that hold a word, and of these the ones with it in a line of
+    several sentences; texts that hold a variable name in template syntax."""
+    for pdf in batches:
+        seen, running, names = Counter(), Counter(), Counter()
+        for text in pdf["text"]:
+            own: set[str] = set()
+            inside: set[str] = set()
+            for line, sentences in _units(text):
+                words = words_of(line)
+                own.update(words)
+                if len(sentences) > 2:
+                    inside.update(words)
+            seen.update(own)
+            running.update(inside)
+            if "{" in text or "%" in text or "@@" in text or "[[" in text:
+                names.update({_bare(m) for p in NAMED_SLOTS for m in re.findall(p, text)})
+        rows = [("word", w, n, running[w]) for w, n in seen.items()] + [("name", w, n, 0) for w, n in names.items()]
+        yield pd.DataFrame([*rows, ("texts", "", len(pdf), 0)], columns=["kind", "word", "n", "running"])
+
+
+def learn(rows: DataFrame) -> Lexicon:
+    """The lexicon of all texts of ``rows``."""
+    counted = materialize(rows.select("text").mapInPandas(_tally, "kind string, word string, n bigint, running bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("running").alias("running")), "tally")
+    total = counted.where("kind = 'texts'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(COMMON_LEAST, int(total * COMMON_SHARE))
+    common = counted.where((F.col("kind") == "word") & (F.col("n") >= least)).select("word", (F.col("running") >= F.col("n") * RUNNING).alias("running")).collect()
+    names = counted.where((F.col("kind") == "name") & (F.col("n") >= max(2, total * COMMON_SHARE / 5)) & (F.length("word") >= 3)).select("word").collect()
+    return Lexicon({r["word"] for r in common}, {r["word"] for r in common if r["running"]}, {r["word"] for r in names})
+
+
+EVIDENCE = "kind string, frame bigint, value bigint, doc_id bigint, n bigint, alone bigint, last bigint"
+
+
+def _look(lexicon) -> callable:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        def code(x: str) -> int:
+            return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
+        words, cues = lexicon.value, _cue_automaton()
+        loose = re.compile("|".join(f"(?:{p})" for p in AMBIGUOUS_SLOTS))
+        for pdf in batches:
+            rows: list[tuple] = []
+            filled: Counter = Counter()
+            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+                version = code(text)
+                coded = bool(_CODED.search(text))
+                if coded and (_PLAIN.search(text) or any(_bare(next(g for g in m.groups() if g)) in words.names for m in loose.finditer(text))):
+                    rows.append(("slot", 0, 0, doc, 1, 0, 0))
+                units = _units(text)
+                cued = next(cues.iter(text.lower()), None) is not None
+                bodies = sum(len(s) > 2 for _, s in units)
+                filler = message = False
+                for k, (line, sentences) in enumerate(units):
+                    own = words_of(line)
+                    if len(sentences) < 3 and not words.is_running(own) and own:
+                        mask = re.sub(r"[0-9]+", "0", " ".join(line.lower().split()))
+                        rows.append(("line", code(mask), version, doc, 1, int(not bodies), int(k + 1 == len(units))))
+                    for unit in dict.fromkeys((line, *sentences)):
+                        filler = filler or _is_filler(unit)
+                        if cued and not message:
+                            low = " ".join(unit.lower().split())
+                            message = next(cues.iter(low), None) is not None and _MESSAGE.search(low) is not None
+                        frame, values = words.frame(unit)
+                        if not values or frame == _SLOT:
+                            if frame and unit == line and _LABEL.fullmatch(line):
+                                rows.append(("blank", code(f"{frame} {_SLOT}"), 0, doc, 1, 0, 0))
+                            continue
+                        spot = code(frame)
+                        for i, (value, kind) in enumerate(values):
+                            if kind == "value":
+                                filled[spot + i, code(value)] += 1
+                            else:
+                                rows.append((kind, spot + i, code(value), doc, 1, 0, 0))
+                if filler:
+                    rows.append(("filler", 0, 0, doc, 1, 0, 0))
+                if message:
+                    rows.append(("message", 0, 0, doc, 1, 0, 0))
+            rows += [("value", f, v, None, n, 0, 0) for (f, v), n in filled.items()]
+            out = pd.DataFrame(rows, columns=["kind", "frame", "value", "doc_id", "n", "alone", "last"])
+            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+
+    return look
 
 
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(doc_id, reason): documents that hold residue, one row per kind of evidence (slot, template,
-    message, filler, repeated).
+    """(doc_id, reason): documents that hold residue, one row per kind of evidence: template (a slot of
+    an aligned template left with a variable name, default or blank), page (a template of a whole page
+    that recurs), slot (template syntax), filler, message (known wordings).
 
     Null, empty and blank texts and rows without an id give nothing; identical texts count as one
     when repetition is counted.  Texts are read whole.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and length(trim(text)) > 0")
-    plain = F.col("text").rlike(_any(PLAIN_SLOTS))
-    slots = rows.where(plain).select("doc_id", F.lit("slot").alias("reason"))
-
-    names = (
-        rows.where(F.col("text").rlike(_any(NAMED_SLOTS)))
-        .select("doc_id", F.explode(_names(F.col("text"), NAMED_SLOTS)).alias("name"))
-        .where("length(name) >= 3")
-        .groupBy("name")
-        .agg(F.countDistinct("doc_id").alias("n"))
-        .where("n >= 2")
-        .select("name")
-    )
-    doubtful = rows.where(F.col("text").rlike(_any(AMBIGUOUS_SLOTS)) & ~plain).select("doc_id", F.explode(_names(F.col("text"), AMBIGUOUS_SLOTS)).alias("name"))
-    named = doubtful.join(names, "name", "left_semi").select("doc_id", F.lit("slot").alias("reason"))
-
-    lines = rows.select("doc_id", F.xxhash64("text").alias("version"), F.explode(F.split("text", r"[\r\n]+")).alias("line")).select("doc_id", "version", F.trim("line").alias("line"))
-    filler = lines.where(_filler(F.col("line"))).select("doc_id", F.lit("filler").alias("reason"))
-    short = lines.where((F.length("line") > 0) & (F.length("line") <= LINE_CHARS)).select("doc_id", "version", F.regexp_replace(F.lower("line"), r"\s+", " ").alias("line"))
-    told = short.where(F.col("line").rlike(_any(MESSAGES))).select("doc_id", F.lit("message").alias("reason"))
-
-    masked = short.select("doc_id", "version", "line", F.regexp_replace("line", "[0-9]+", "0").alias("mask"))
-    cued = masked.where(F.col("line").rlike(SERVER_WORDS) & (F.length("line") <= 160))
-    often = cued.groupBy("mask").agg(F.countDistinct("version").alias("n"), F.max(F.when(F.col("line").rlike(r"^[^.!?。！？]{0,40}\|"), 1).otherwise(0)).alias("bar")).where((F.col("n") >= min_texts) & (F.col("bar") == 0)).select("mask")
-    repeated = cued.join(often, "mask", "left_semi").select("doc_id", F.lit("repeated").alias("reason"))
-
-    tokens = masked.withColumn("tokens", F.split("mask", r"[^\p{L}\p{N}_.]+|(?<=[A-Za-z_])\.(?=inc\b)")).where(F.size("tokens").between(3, _TOKENS) & (F.length("line") <= 120))
-    others = F.concat_ws(" ", F.slice("tokens", 1, F.col("i")), F.lit("\u0000"), F.slice("tokens", F.col("i") + 2, F.lit(_TOKENS)))
-    aligned = tokens.select("doc_id", "version", "tokens", F.posexplode("tokens").alias("i", "value")).select("doc_id", "version", F.xxhash64(others).alias("frame"), F.regexp_replace("value", r"^\.+|\.+$", "").alias("value")).where("value <> ''")
-    values = aligned.groupBy("frame", "value").agg(F.approx_count_distinct("version").alias("n"))
-    open_values = values.join(names.withColumnRenamed("name", "value").withColumn("variable", F.lit(1)), "value", "left")
-    frames = open_values.groupBy("frame").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("texts"), F.count("variable").alias("variables"))
-    frames = frames.where((F.col("values") >= 2) & (F.col("texts") >= min_texts) & (F.col("variables") * 5 >= F.col("values") * 4)).select("frame")
-    kept = aligned.join(frames, "frame", "left_semi").join(names.withColumnRenamed("name", "value"), "value", "left_semi").select("doc_id", F.lit("template").alias("reason"))
-
-    return reduce(DataFrame.unionByName, [slots, named, filler, told, repeated, kept]).distinct()
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and length(trim(text)) > 0")
+    lexicon = rows.sparkSession.sparkContext.broadcast(learn(rows))
+    seen = materialize(rows.mapInPandas(_look(lexicon), EVIDENCE), "evidence")
+    told = seen.where(F.col("kind").isin("slot", "filler", "message")).select("doc_id", F.col("kind").alias("reason"))
+
+    lines = seen.where("kind = 'line'").groupBy("frame", F.col("value").alias("version")).agg(F.max("alone").alias("alone"), F.max("last").alias("last"))
+    pages = lines.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.sum("alone").alias("alone"), F.sum("last").alias("last"))
+    pages = pages.where((F.col("n") >= min_texts) & (F.col("last") * 2 >= F.col("n")) & (F.col("alone") * 4 >= F.col("n"))).select("frame")
+    page = seen.where("kind = 'line'").join(pages, "frame", "left_semi").select("doc_id", F.lit("page").alias("reason"))
+
+    left = seen.where(F.col("kind").isin("name", "word", "default", "blank"))
+    slots = seen.where(~F.col("kind").isin("slot", "filler", "message", "line")).groupBy("frame", "value", (F.col("kind") == "value").alias("filled")).agg(F.sum("n").alias("n"))
+    frames = slots.groupBy("frame").agg(
+        F.count(F.when(F.col("filled"), 1)).alias("fills"), F.sum(F.when(F.col("filled"), F.col("n")).otherwise(0)).alias("filled"),
+        F.count(F.when(~F.col("filled"), 1)).alias("names"), F.sum("n").alias("n"),
+    )
+    frames = frames.where((F.col("n") >= min_texts) & (F.col("names") > 0))
+    # Others fill it: any variable name is left over, a default, a blank or a mere word only where nearly all do.
+    open_ = frames.select("frame", (F.col("fills") >= min_texts).alias("some"), ((F.col("fills") >= min_texts) & (F.col("filled") >= F.col("n") * 0.8)).alias("most"), ((F.col("names") >= 2) & (F.col("filled") * 5 <= F.col("n"))).alias("bare"))
+    judged = left.join(open_, "frame").where(F.when(F.col("kind") == "name", F.col("some") | F.col("bare")).when(F.col("kind") == "word", F.col("most") | F.col("bare")).otherwise(F.col("most")))
+    return told.unionByName(page).unionByName(judged.select("doc_id", F.lit("template").alias("reason"))).distinct()
 
 
 def exclude(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -270,6 +270,34 @@ def test_residue(spark):
     assert residue.residue(texts(spark, []).limit(0)).count() == 0
 
 
+def test_residue_of_aligned_templates(spark):
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choice("bdklmnprst") + rng.choice("aeiou") for _ in range(4)).title()
+    records = [f"Author: {name()}\nThis record was made by {name()} for the catalogue of {name()}" for _ in range(30)]
+    letters = [f"Dear {name()}, your order {i}17 has left our house in {name()}" for i in range(30)]
+    left = ["Author: first_name", "Author: TBD", "Author:", "This record was made by author_name for the catalogue of Kalano", "Dear {customer}, your order 5 has left our house in Pada", "Dear customer_name, your order 7 has left our house in Mubo"]
+    prose = [f"{name()} speaks of the body. The {name()} is long. An order of {name()} was made for the house." for _ in range(20)]
+    found = {r.doc_id for r in residue.residue(texts(spark, records + letters + prose + left)).where("reason = 'template'").collect()}
+    assert found == set(range(80, 86))
+
+
+def test_residue_of_recurring_pages(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("bdklmnprst") + rng.choice("aeiou") for _ in range(3))
+    vocabulary = [word() for _ in range(40)]
+    prose = lambda: " ".join(" ".join(rng.choice(vocabulary) for _ in range(8)).capitalize() + "." for _ in range(5))
+    notice = "Our servers are taking a nap, code {}"
+    pages = [notice.format(i) for i in range(4)] + [f"{prose()}\n\n{notice.format(i)}" for i in range(6)]
+    found = residue.residue(texts(spark, pages + [prose() for _ in range(30)] + [f"Archive of {word()}\n{prose()}" for _ in range(9)])).where("reason = 'page'")
+    assert {r.doc_id for r in found.collect()} == set(range(10))
+
+
+def test_residue_inside_long_lines(spark):
+    body = "The reader follows the argument. " * 200
+    bad = [body + "Please enable JavaScript to view this page.", body + "Lorem ipsum dolor sit amet consectetur adipiscing elit. " + body]
+    assert {r.doc_id for r in residue.residue(texts(spark, [*bad, body])).collect()} == {0, 1}
+
+
 # ---- 2 scans -------------------------------------------------------------------------------------
 
 
