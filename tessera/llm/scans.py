@@ -14,6 +14,7 @@ import textwrap
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,13 @@ from tessera.storage import materialize
 #: A word is trusted when at least this share of the clean texts holds it, so there can be no more
 #: trusted words than (distinct words of a text) / share: the bound of what is broadcast.
 TRUST_SHARE, TRUST_LEAST = 0.0005, 3
-#: Clean texts laid out as pages for training: the bound of the fitted sample.
+#: Clean texts laid out as pages for training, and a quarter as many without words set apart: the
+#: bound of the fitted sample.
 SAMPLE_TEXTS = 240
+#: Letters of each sampled text and trusted words from which training rows are made.
+SAMPLE_CHARS, SAMPLE_WORDS = 6000, 4000
+#: Wider lines are paragraphs, unless the lines of the text that end inside a sentence are all as wide.
+PARAGRAPH = 160
 #: Least probability of a line to be furniture.
 FURNITURE = 0.4
 
@@ -91,6 +97,43 @@ def _alike(a: str, b: str, known: dict[str, set[str]]) -> bool:
     return len(x & y) >= 0.7 * max(len(x), len(y), 1)
 
 
+#: More like lines than this tell no more.
+TWINS = 5
+
+
+def _twins(cores: list[str], known: dict[str, set[str]]) -> dict[str, int]:
+    """How many other lines each core is like, ``TWINS`` at most.
+
+    Like cores share 0.7 of the letter pairs of the longer one, so two of the rarest 0.3 n + 2 of each
+    are common to both: only cores that meet in two such pairs are compared."""
+    count = Counter(cores)
+    pairs = {c: known.setdefault(c, _pairs(c)) for c in count}
+    rarity = Counter(p for ps in pairs.values() for p in ps)
+
+    def keys(c: str) -> list[tuple[str, ...]]:
+        rare = sorted(pairs[c], key=lambda p: (rarity[p], p))[: int(0.3 * len(pairs[c])) + 2]
+        return list(combinations(rare, 2)) if len(rare) > 1 else [tuple(rare)]
+
+    index: dict[tuple[str, ...], list[str]] = {}
+    for c in pairs:
+        for k in keys(c):
+            index.setdefault(k, []).append(c)
+    found = {c: n - 1 for c, n in count.items()}
+    for c in pairs:
+        seen = {c}
+        for k in keys(c):
+            if found[c] >= TWINS:
+                break
+            for other in index[k]:
+                if other not in seen:
+                    seen.add(other)
+                    if _alike(c, other, known):
+                        found[c] += count[other]
+                        if found[c] >= TWINS:
+                            break
+    return {c: min(n, TWINS) for c, n in found.items()}
+
+
 LINE_FEATURES = 17
 
 
@@ -114,20 +157,15 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
             elif m := _SIDE.match(line):
                 side = _value(m.group(1) or m.group(4))
                 rest = (m.group(2) or m.group(3)) if side is not None else rest
-        cores.append(_core(rest)[:80])
+        cores.append(_core(rest))
         numbers.append(number)
         sides.append(side)
     short = [j for j in range(len(at)) if 0 < len(cores[j]) and len(lines[at[j]].strip()) <= 1.25 * width]
-    twins = [0] * len(at)
     pairs: dict[str, set[str]] = {}
-    if width < 160:
-        buckets: dict[str, list[int]] = {}
-        for j in short:
-            buckets.setdefault(cores[j][:3], []).append(j)
-            buckets.setdefault("$" + cores[j][-3:], []).append(j)
-        for j in short:
-            near = {k for k in (*buckets[cores[j][:3]], *buckets["$" + cores[j][-3:]]) if k != j}
-            twins[j] = sum(_alike(cores[j], cores[k], pairs) for k in near)
+    like = _twins([cores[j] for j in short], pairs)
+    twins = [0] * len(at)
+    for j in short:
+        twins[j] = like[cores[j]]
     paged = [n if n is not None else s for n, s in zip(numbers, sides, strict=True)]
     known = {n for n in paged if n is not None}
     rows = []
@@ -147,12 +185,12 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
                 numbers[j] is not None,
                 sides[j] is not None,
                 n is not None and ((n + 1) in known or (n - 1) in known),
-                min(twins[j], 5),
+                twins[j],
                 len(text) / width,
                 as_title,
                 as_author,
-                bool(re.search(r"[.!?:;,»”\"')]$", text)),
-                bool(before) and not re.search(r"[.!?:»”\"')]$", before),
+                bool(re.search(r"[.!?:;,»”\"')。！？；，」』]$", text)),
+                bool(before) and not re.search(r"[.!?:»”\"')。！？」』]$", before),
                 bool(after) and after[0].islower(),
                 i == 0 or not lines[i - 1].strip(),
                 i + 1 >= len(lines) or not lines[i + 1].strip(),
@@ -334,11 +372,17 @@ def train(samples: list[tuple[str, str, str]], trusted: dict[str, int], seed: in
     line_x, line_y, join_x, join_y = [], [], [], []
     for text, title, author in samples:
         # The clean text as it stands, and wrapped without pages: nothing in it is furniture.
-        for lines in (text.split("\n"), [x for p in text.split("\n") for x in textwrap.wrap(p, rng.randint(40, 90)) or [""]]):
-            at, features = line_features(lines, title or "", [author] if author else [])
-            line_x.append(features)
-            line_y += [False] * len(at)
-        for _ in range(4):
+        # Stretches of a text that are set in lines may be scanned themselves and teach nothing.
+        whole = text.split("\n")
+        clean = _paragraphs(text)
+        text = "\n\n".join(clean)
+        for lines, runs in ((whole, [(a, b) for a, b in stretches(whole) if not set_in_lines(whole[a:b])]), (wrapped := [x for p in clean for x in textwrap.wrap(p, rng.randint(40, 90)) or [""]], stretches(wrapped))):
+            for a, b in runs:
+                at, features = line_features(lines[a:b], title or "", [author] if author else [])
+                line_x.append(features)
+                line_y += [False] * len(at)
+        # Pages are laid out of words set apart.
+        for _ in range(0 if _WIDE.search(text) else 4):
             lines, flags, splits = layout(text, title or "Untitled", author or "Anonymous", rng)
             at, features = line_features(lines, title if rng.random() < 0.8 else "", [author] if author else [])
             line_x.append(features)
@@ -346,7 +390,7 @@ def train(samples: list[tuple[str, str, str]], trusted: dict[str, int], seed: in
             for first, second, mark, kind in splits:
                 join_x.append(join_features(first, second, mark, trusted))
                 join_y.append(kind)
-    vocabulary = sorted((w for w in trusted if w.isalpha() and len(w) > 2), key=lambda w: (-trusted[w], w))[:4000]
+    vocabulary = sorted((w for w in trusted if w.isalpha() and len(w) > 2), key=lambda w: (-trusted[w], w))[:SAMPLE_WORDS]
     word_x, word_y = [], []
     by_length: dict[int, list[str]] = {}
     for w in vocabulary:
@@ -382,34 +426,64 @@ def train(samples: list[tuple[str, str, str]], trusted: dict[str, int], seed: in
 # ---- reading pages -------------------------------------------------------------------------------
 
 
-def _is_page(lines: list[str]) -> bool:
-    """Whether a text is set in short lines most of which end inside a sentence."""
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uff00-\uffef]")
+
+
+def _width(line: str) -> int:
+    """Columns that a line takes: letters of Chinese, Japanese and Korean take two."""
+    return len(line) if line.isascii() else len(line) + len(_WIDE.findall(line))
+
+
+def stretches(lines: list[str]) -> list[tuple[int, int]]:
+    """Runs of lines that may be set as on a page: the text between paragraphs of one line each."""
+    sizes = [_width(x.rstrip()) for x in lines]
+    inside = sorted(n for n, x in zip(sizes, lines, strict=True) if n and not re.search(r"[.!?。！？؟][\"”»’')\]」』]*\s*$", x))
+    # Lines of one width are set, however wide.
+    even = len(inside) > 3 and inside[int(len(inside) * 0.9)] <= 1.25 * inside[len(inside) // 2]
+    limit = max(PARAGRAPH, 1.6 * inside[len(inside) // 2] if even else 0)
+    found, start = [], None
+    for i, n in enumerate([*sizes, limit + 1]):
+        if n > limit:
+            if start is not None:
+                found.append((start, i))
+            start = None
+        elif n and start is None:
+            start = i
+    return found
+
+
+def set_in_lines(lines: list[str]) -> bool:
+    """Whether most lines end inside a sentence."""
     text = [s for s in (x.rstrip() for x in lines) if s]
-    return len(text) > 1 and max(map(len, text)) <= 160 and sum(s[-1] in ".!?。！？؟" for s in text) < 0.6 * len(text)
+    return len(text) > 1 and sum(s[-1] in ".!?。！？؟" for s in text) < 0.6 * len(text)
 
 
-def read_pages(pages: list[tuple[str, str, list[str]]], models: Models) -> list[tuple[list[tuple[int, str, str, str]], list[str], set[int]]]:
-    """Of each (text, title, authors): (cases, lines, furniture line indexes).  Cases: (line_no, kind,
-    word, reading): furniture; split with the whole word; rare with a word outside the trusted ones and
-    its reading where the text itself tells it, else ''."""
+def read_pages(pages: list[tuple[str, str, list[str]]], models: Models) -> list[list[tuple[int, str, str, str]]]:
+    """Cases of each (text, title, authors): (line_no, kind, word, reading) of furniture; split with the
+    whole word; rare with a word outside the trusted ones and its reading where the text itself tells
+    it, else ''.  Every stretch of lines is looked at as a page of its own."""
     set_out = [text.split("\n") for text, _, _ in pages]
-    # A paragraph to a line is no page of a scan: such texts have no furniture and no split words.
-    paged = [_is_page(lines) for lines in set_out]
-    features = [line_features(lines, title, authors) if is_page else ([i for i, x in enumerate(lines) if x.strip()], None) for lines, (_, title, authors), is_page in zip(set_out, pages, paged, strict=True)]
-    stacked = [f for _, f in features if f is not None and len(f)]
+    runs = [(k, a, b) for k, lines in enumerate(set_out) for a, b in stretches(lines)]
+    features = [line_features(set_out[k][a:b], *pages[k][1:]) for k, a, b in runs]
+    stacked = [f for _, f in features if len(f)]
     likely = iter(models.line.predict(np.vstack(stacked)) >= FURNITURE if stacked else [])
-    flagged = [{i for i in at if next(likely)} if f is not None else set() for at, f in features]
-    # A few lines of which none repeats or bears a number are no page.
-    furniture = [found if f is not None and len(f) and (len(at) > 4 or f[:, :4].any()) else set() for found, (at, f) in zip(flagged, features, strict=True)]
-    drafts = [_draft(lines, at, skip, is_page, models.trusted) for lines, (at, _), skip, is_page in zip(set_out, features, furniture, paged, strict=True)]
-    facts = [f for _, pending, _ in drafts for *_, f in pending]
+    furniture: list[set[int]] = [set() for _ in pages]
+    paged: list[set[int]] = [set() for _ in pages]
+    for (k, a, b), (at, f) in zip(runs, features, strict=True):
+        flagged = {a + i for i in at if next(likely)}
+        paged[k].update(range(a, b))
+        # A few lines of which none repeats or bears a number are no page.
+        if len(at) > 4 or f[:, :4].any():
+            furniture[k] |= flagged
+    drafts = [_draft(lines, skip, inside, models.trusted) for lines, skip, inside in zip(set_out, furniture, paged, strict=True)]
+    facts = [f for _, pending in drafts for *_, f in pending]
     joins = iter(models.join.predict(np.array(facts)) if facts else [])
-    return [(_cases(skip, draft, joins, models.trusted), lines, skip) for lines, skip, draft in zip(set_out, furniture, drafts, strict=True)]
+    return [_cases(skip, draft, joins, models.trusted) for skip, draft in zip(furniture, drafts, strict=True)]
 
 
-def _draft(lines, at, furniture, is_page, trusted):
-    """(rare words, split words with their features, whether it is a page) of one text."""
-    text_lines = [i for i in at if i not in furniture]
+def _draft(lines, furniture, paged, trusted):
+    """(rare words, split words with their features) of one text."""
+    text_lines = [i for i, x in enumerate(lines) if i not in furniture and x.strip()]
     rare: list[tuple[int, str]] = []
     carried = False
     pending = []
@@ -419,7 +493,7 @@ def _draft(lines, at, furniture, is_page, trusted):
         if carried and tokens:
             tokens = tokens[1:]
         carried = False
-        if is_page and tokens and line[-1] in _HYPHENS and len(line) > 1 and line[-2].isalnum() and k + 1 < len(text_lines):
+        if i in paged and tokens and line[-1] in _HYPHENS and len(line) > 1 and line[-2].isalnum() and k + 1 < len(text_lines):
             following = lines[text_lines[k + 1]].lower().split()
             first = tokens[-1].strip(_SIGNS)
             second = re.split("[—–]", following[0])[0].strip(_SIGNS) if following else ""
@@ -431,42 +505,71 @@ def _draft(lines, at, furniture, is_page, trusted):
             w = t.strip(_SIGNS)
             if w and w not in trusted and len(w) > 1 and not w.isdigit() and any(c.isalpha() for c in w):
                 rare.append((i + 1, w))
-    return rare, pending, is_page
+    return rare, pending
+
+
+def _thirds(size: int) -> list[tuple[int, int]]:
+    a, b = size // 3, 2 * size // 3
+    return [(0, a), (a, b), (b, size)]
+
+
+def own_readings(counts: Counter) -> dict[str, str]:
+    """What rare words of a text should read by more frequent ones of the same text: the most frequent
+    that at most two confusions of look-alike letters turn into them.
+
+    Two confusions leave one of three parts of the other word as it is, moved by two letters at most,
+    so only words that share such a part are compared."""
+    order = {w: i for i, w in enumerate(counts)}
+    index: dict[tuple[int, int, str], list[str]] = {}
+    for w, n in counts.items():
+        if n > 1:
+            for part, (a, b) in enumerate(_thirds(len(w))):
+                index.setdefault((len(w), part, w[a:b]), []).append(w)
+    sizes = {k[0] for k in index}
+    found = {}
+    for w, n in counts.items() if index else ():
+        if len(w) < 5:
+            continue
+        near: set[str] = set()
+        for size in range(len(w) - 2, len(w) + 3):
+            if size in sizes:
+                for part, (a, b) in enumerate(_thirds(size)):
+                    for start in range(max(0, a - 2), min(a + 2, len(w) - (b - a)) + 1):
+                        near.update(index.get((size, part, w[start : start + b - a]), ()))
+        for other in sorted(near, key=lambda o: (-counts[o], order[o])):
+            if counts[other] <= n:
+                break
+            x, y, _ = difference(w, other)
+            if max(len(x), len(y)) <= 6 and sight_cost(x, y) <= 0.75:
+                found[w] = other
+                break
+    return found
 
 
 def _cases(furniture, draft, joins, trusted):
-    rare, pending, _ = draft
+    rare, pending = draft
     cases = [(i + 1, "furniture", "", "") for i in sorted(furniture)]
-    if pending:
-        for number, first, second, _ in pending:
-            p = next(joins)
-            joined, hyphened = first + second, f"{first}-{second}"
-            if joined in trusted and trusted[joined] >= trusted.get(hyphened, 0):
-                word = joined
-            elif hyphened in trusted:
-                word = hyphened
-            else:
-                word = joined if p >= 0.5 or not (first in trusted and second in trusted) else hyphened
-            cases.append((number, "split", word, ""))
-            if word not in trusted:
-                rare.append((0, word))
-    counts = Counter(w for _, w in rare)
-    for number, w in rare:
-        if number:
-            reading = ""
-            for other, n in counts.items():
-                if other != w and n >= counts[w] and (n > 1 or counts[w] == 1) and abs(len(other) - len(w)) <= 2 and len(w) >= 5:
-                    x, y, _ = difference(w, other)
-                    if max(len(x), len(y)) <= 6 and n > counts[w] and sight_cost(x, y) <= 0.75:
-                        reading = other
-                        break
-            cases.append((number, "rare", w, reading))
-    return cases
-
-
-def _in_paragraphs(text: str) -> bool:
-    """A text set in short lines may be a scanned page; one with a paragraph to a line is not."""
-    return max(map(len, text.split("\n"))) > 160
+    for number, first, second, _ in pending:
+        p = next(joins)
+        joined, hyphened = first + second, f"{first}-{second}"
+        if joined in trusted and trusted[joined] >= trusted.get(hyphened, 0):
+            word = joined
+        elif hyphened in trusted:
+            word = hyphened
+        else:
+            word = joined if p >= 0.5 or not (first in trusted and second in trusted) else hyphened
+        cases.append((number, "split", word, ""))
+        if word not in trusted:
+            rare.append((0, word))
+    readings = own_readings(Counter(w for _, w in rare))
+    return cases + [(number, "rare", w, readings.get(w, "")) for number, w in rare if number]
+
+
+def _paragraphs(text: str) -> list[str]:
+    """The lines of a text that are paragraphs: no scanned page is set so wide."""
+    lines = text.split("\n")
+    paged = {i for a, b in stretches(lines) for i in range(a, b)}
+    return [x for i, x in enumerate(lines) if i not in paged and x.strip()]
 
 
 _CASES = "rec_no bigint, line_no int, kind string, word string, reading string"
@@ -477,9 +580,17 @@ def _grams(w: str) -> list[str]:
     return sorted({g for f in forms for g in (lambda s: [s[i : i + 3] for i in range(len(s) - 2)])(f"##{f}##")})
 
 
+#: Misreadings of one word that are told at most: three at a cost of 0.35 each.
+MISREAD = 3
+
+
 def candidates(rare: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, other, df): trusted words that share enough q-grams with a rare word and differ in
-    length by at most two."""
+    length by at most two.
+
+    A word of ``n`` letters has ``n + 2`` grams; half of them must be left, which two misreadings leave
+    in words of up to nine letters and three in longer ones.  The lengths are part of the join key, so
+    that a frequent gram is many keys."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -487,11 +598,15 @@ def candidates(rare: DataFrame, vocabulary: DataFrame) -> DataFrame:
             yield pdf.explode("gram")[["word", "n", "gram"]]
 
     sized = lambda df: df.mapInPandas(grams, "word string, n bigint, gram string")
+    size = F.length("other")
     known = sized(vocabulary.select("word", F.col("n").cast("bigint").alias("n"))).select(F.col("word").alias("other"), F.col("n").alias("df"), "gram")
-    asked = sized(rare.select("word", F.lit(0).cast("bigint").alias("n"))).select("word", "gram")
-    near = F.abs(F.length("word") - F.length("other")) <= 2
-    met = asked.join(known, "gram").where(near).groupBy("word", "other").agg(F.count(F.lit(1)).alias("shared"), F.max("df").alias("df"))
-    return met.where(F.col("shared") >= F.greatest(F.lit(1), F.length("other") - F.when(F.length("other") <= 8, 3).otherwise(6))).select("word", "other", "df")
+    known = known.select("other", "df", "gram", F.explode(F.sequence(size - 2, size + 2)).alias("size"))
+    asked = sized(rare.select("word", F.lit(0).cast("bigint").alias("n"))).select("word", "gram", F.length("word").alias("size"))
+    met = asked.join(known, ["gram", "size"]).groupBy("word", "other").agg(F.count(F.lit(1)).alias("shared"), F.max("df").alias("df"))
+    left = F.greatest(F.lit(1), F.floor((size - 2) / 2))
+    # Three misreadings of two letters each are six edits.
+    near = F.call_function("levenshtein", F.col("word"), F.col("other"), F.lit(2 * MISREAD)) >= 0
+    return met.where((F.col("shared") >= left) & near).select("word", "other", "df")
 
 
 def read_scans(docs: DataFrame, text: str = "fulltext") -> DataFrame:
@@ -510,7 +625,7 @@ def read_scans(docs: DataFrame, text: str = "fulltext") -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen: Counter = Counter()
-            texts = [t for t in pdf["abstract"] if t] + [t for t in pdf["text"] if t and _in_paragraphs(t)]
+            texts = [t for t in pdf["abstract"] if t] + [" ".join(p) for p in (_paragraphs(t) for t in pdf["text"] if t) if p]
             for t in texts:
                 seen.update(set(words(t)))
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values()), "texts": 0})
@@ -522,14 +637,16 @@ def read_scans(docs: DataFrame, text: str = "fulltext") -> DataFrame:
     vocabulary = counted.where((F.col("n") >= least) & (F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).select("word", "n")
     trusted = {r["word"]: r["n"] for r in vocabulary.collect()}
     some = F.pmod(F.xxhash64("rec_no"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE_TEXTS * 40 / max(total, 1)))
-    usable = texts.where(some).where(F.col("text").rlike(r"[^\n]{160}") & (F.length("text") > 400) & F.col("text").rlike("[A-Za-z]{3}") & ~F.col("text").rlike(r"\p{IsHan}|\p{IsHangul}"))
-    drawn = usable.select(F.substring("text", 1, 6000).alias("text"), "title", F.get("authors", F.lit(0)).alias("author"), F.xxhash64("rec_no").alias("u")).orderBy("u").limit(SAMPLE_TEXTS).collect()
+    wide, broad = F.col("text").rlike(r"\p{IsHan}|\p{IsHangul}"), F.col("text").rlike(r"[^\n]{80}")
+    apart = F.col("text").rlike(r"[^\n]{160}") & (F.length("text") > 400) & F.col("text").rlike("[A-Za-z]{3}") & ~wide
+    sampled = texts.where(some).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "title", F.get("authors", F.lit(0)).alias("author"), F.xxhash64("rec_no").alias("u"))
+    drawn = [r for kind, most in ((apart, SAMPLE_TEXTS), (wide & broad, SAMPLE_TEXTS // 4)) for r in sampled.where(kind).orderBy("u").limit(most).collect()]
     models = spark.sparkContext.broadcast(train([(r["text"], r["title"] or "", r["author"] or "") for r in drawn], trusted))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pages = [(t, title or "", [a for a in authors if a] if authors is not None else []) for t, title, authors in zip(pdf["text"], pdf["title"], pdf["authors"], strict=True)]
-            found = [(rec, *c) for rec, (cases, _, _) in zip(pdf["rec_no"], read_pages(pages, models.value), strict=True) for c in cases]
+            found = [(rec, *c) for rec, cases in zip(pdf["rec_no"], read_pages(pages, models.value), strict=True) for c in cases]
             yield pd.DataFrame(found, columns=["rec_no", "line_no", "kind", "word", "reading"])
 
     cases = materialize(texts.select("rec_no", "title", "authors", "text").mapInPandas(read, _CASES), "cases")
@@ -570,7 +687,7 @@ def repair_text(text: str, cases: list[tuple[int, str, str, str]]) -> str:
     paragraphs: list[list[str]] = [[]]
     whole, blank = None, False
     lines = text.split("\n")
-    page = _is_page(lines)
+    paged = {i + 1 for a, b in stretches(lines) if set_in_lines(lines[a:b]) for i in range(a, b)}
     for n, line in enumerate(lines, 1):
         if n in furniture:
             continue
@@ -579,6 +696,7 @@ def repair_text(text: str, cases: list[tuple[int, str, str, str]]) -> str:
             blank = True
             continue
         last = paragraphs[-1][-1] if paragraphs[-1] else ""
+        page = n in paged
         open_end = whole is not None or (page and last and last[-1] not in ".!?:。！？" and tokens[0][0].islower())
         if paragraphs[-1] and not open_end and (not page or blank or line[:2] == "  "):
             paragraphs.append([])

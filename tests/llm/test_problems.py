@@ -322,12 +322,44 @@ def test_scanned_pages(spark):
     page = ["the history of the argu-", "Journal of Reason   12", "", "ment and the rneaning of the tradition", "of teacber and reader and the", "language of the author and nature"] * 3
     for k, n in zip(range(1, 18, 6), (12, 13, 14), strict=True):
         page[k] = f"Journal of Reason   {n}"
-    rows += [(900, "Reason", ["Ann Author"], None, "\n".join(page)), (901, None, None, None, ""), (902, None, None, None, None), (903, None, None, None, "x" * 5000)]
+    rows += [(899, "Reason", ["Ann Author"], None, "\n".join([*page, "", clean()[:180].replace("\n", " ")])), (900, "Reason", ["Ann Author"], None, "\n".join(page)), (901, None, None, None, ""), (902, None, None, None, None), (903, None, None, None, "x" * 5000)]
     found = scans.read_scans(spark.createDataFrame(rows, "rec_no bigint, title string, authors array<string>, abstract string, fulltext string")).collect()
     got = {(r.line_no, r.kind, r.word) for r in found if r.rec_no == 900}
     want = {(1 + 6 * k, "split", "argument") for k in range(3)} | {(2 + 6 * k, "furniture", "") for k in range(3)} | {(4 + 6 * k, "misread", "meaning") for k in range(3)} | {(5 + 6 * k, "misread", "teacher") for k in range(3)}
-    assert got == want and not [r for r in found if r.rec_no in (901, 902, 903)]
-    assert sum(r.rec_no < 900 for r in found) == 0
+    beside = {(r.line_no, r.kind, r.word) for r in found if r.rec_no == 899}
+    assert got == want and beside == want and not [r for r in found if r.rec_no in (901, 902, 903)]
+    assert sum(r.rec_no < 899 for r in found) == 0
+
+
+def test_stretches_lie_between_paragraphs():
+    lines = ["a short line", "", "another", "p" * 180, "", "next page", "more of it", "q" * 400]
+    assert scans.stretches(lines) == [(0, 3), (5, 7)]
+    assert scans.stretches(["w" * 190 + " and", "w" * 200 + " so"] * 3) == [(0, 6)]
+    assert scans.stretches(["w" * 190 + " and", "w" * 400 + " so"]) == []
+    assert scans.stretches([]) == [] and scans.stretches([""]) == [] and scans.stretches(["字" * 90]) == []
+
+
+def test_twins_and_own_readings_as_by_brute_force():
+    rng = random.Random(21)
+    cores = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(6, 14))) for _ in range(60)]
+    cores += [c[:-1] for c in cores[:20]] + cores[:10]
+    got = scans._twins(cores, {})
+    for i, c in enumerate(cores):
+        assert got[c] == min(scans.TWINS, sum(scans._alike(c, o, {}) for j, o in enumerate(cores) if j != i))
+    counts = Counter({"teacher": 4, "teacbcr": 1, "rneaning": 1, "meaning": 3, "nature": 2, "other": 1, "natvre": 2})
+    assert scans.own_readings(counts) == {"teacbcr": "teacher", "rneaning": "meaning"}
+
+
+def test_long_texts_take_little_time():
+    import time
+
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(4, 10)))
+    lines = [f"The same start {word()} {word()} {word()}" for _ in range(5000)]
+    began = time.perf_counter()
+    scans.line_features(lines, "A title", ["Ann Author"])
+    scans.own_readings(Counter([word() for _ in range(4000)] + [w for w in (word() for _ in range(500)) for _ in range(2)]))
+    assert time.perf_counter() - began < 15
 
 
 def test_repair_text():
