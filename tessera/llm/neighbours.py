@@ -3,8 +3,9 @@
 Each ordering rotates the unit vectors at random, keeps a few coordinates, shifts them and sorts by
 the Hilbert index of the grid cell.  Vectors close in angle are close in at least one ordering with
 high probability, so every vector is compared exactly with a window of its neighbours in each, and the
-lists of all orderings are merged.  Orderings are range-partitioned at quantiles of a bounded sample;
-every row is indexed.
+lists of all orderings are merged.  Orderings are range-partitioned at quantiles of a bounded sample
+and read in order with a sliding window, so a range may hold any number of rows; rows near a bound are
+also neighbours of the rows beyond it.  Every row is indexed.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.storage import materialize
 
 #: Orderings, neighbours compared on each side in one ordering, and rows of one range of an ordering.
-CURVES, WINDOW, BLOCK = 10, 384, 6144
+CURVES, WINDOW, BLOCK = 10, 256, 6144
 #: Vectors per collection from which scales and range bounds are taken: the bound of the fitted sample.
 SAMPLE = 20_000
 _DIMS, _BITS, _TIE_BITS = 12, 4, 15
@@ -63,15 +64,20 @@ class Curves:
         self.shift = rng.uniform(-0.5, 0.5, (curves, kept))
         self.scale: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.bounds: dict[str, list[np.ndarray]] = {}
+        #: Where the rows begin and end that lie within a window of each bound.
+        self.near: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    def learn(self, name: str, unit: np.ndarray, ties: np.ndarray, blocks: int) -> None:
-        """Scales and range bounds of one collection from a sample."""
+    def learn(self, name: str, unit: np.ndarray, ties: np.ndarray, blocks: int, window: float) -> None:
+        """Scales and range bounds of one collection from a sample; ``window`` in rows of the sample."""
         projected = [unit @ a for a in self.axes]
         self.scale[name] = [(y.mean(0), np.maximum(y.std(0), 1e-6)) for y in projected]
         blocks = max(1, min(blocks, len(unit) // 8))
         keys = [np.sort(self.key(name, k, unit, ties)) for k in range(len(self.axes))]
         cut = (np.arange(1, blocks) * len(unit)) // blocks
         self.bounds[name] = [k[cut] for k in keys]
+        # Half as many again, since a sample tells the place of a row only roughly.
+        wide = int(np.ceil(1.5 * window)) + 1
+        self.near[name] = [(k[np.maximum(cut - wide, 0)], k[np.minimum(cut + wide, len(k) - 1)]) for k in keys]
 
     def key(self, name: str, curve: int, unit: np.ndarray, ties: np.ndarray) -> np.ndarray:
         """Position on one curve; equal cells are spread by a hash so that no range can be too full."""
@@ -107,18 +113,14 @@ def vectors(df: DataFrame, id_col: str, columns: list[str], dim: int) -> DataFra
     return encoded.groupBy("name", "id").agg(F.min("vec").alias("vec"), F.min("raw").alias("raw")).select("name", "id", "vec", F.xxhash64("raw").alias("dir"))
 
 
-def _window_lists(pdf: pd.DataFrame, dim: int, k: int, window: int) -> pd.DataFrame:
-    """The k best of each row among its window on one curve."""
-    pdf = pdf.sort_values(["key", "id"], kind="stable")
-    v = _matrix(pdf["vec"], dim).astype(np.float64)
-    unit = _unit(v)
+def _window_lists(v: np.ndarray, ids: list[list[str]], own: range, k: int, window: int) -> list[list[dict]]:
+    """The k best of each of the rows ``own`` among its window; rows stand in the order of one curve."""
+    unit = _unit(v.astype(np.float64))
     small = unit.astype(np.float32)
-    ids, n = pdf["ids"].tolist(), len(pdf)
+    n, step, lists = len(v), 512, []
     wide = min(k + 3, max(n - 1, 0))
-    lists = []
-    step = 512
-    for a in range(0, n, step):
-        b = min(n, a + step)
+    for a in range(own.start, own.stop, step):
+        b = min(own.stop, a + step)
         lo, hi = max(0, a - window), min(n, b + window)
         s = small[a:b] @ small[lo:hi].T
         s[np.arange(b - a), np.arange(a - lo, b - lo)] = -2
@@ -130,7 +132,38 @@ def _window_lists(pdf: pd.DataFrame, dim: int, k: int, window: int) -> pd.DataFr
             found = [{"score": -c, "other": x} for j, c in zip(row, score, strict=True) if j != a + i for x in ids[j]]
             found.sort(key=lambda f: (f["score"], f["other"]))
             lists.append(found[:k])
-    return pd.DataFrame({"name": pdf["name"].to_numpy(), "id": pdf["id"].to_numpy(), "found": lists})
+    return lists
+
+
+def _slide(batches, dim: int, k: int, window: int, chunk: int = 4096):
+    """Lists of rows that come in the order of (name, curve, block, key); a row is done once its window
+    has come, so that only a chunk of rows is held.  Guests are neighbours without a list of their own."""
+    held: list[pd.DataFrame] = []
+    group, done = None, 0
+
+    def flush(last: bool):
+        nonlocal held, done
+        rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        stop = len(rows) if last else max(done, len(rows) - window)
+        lists = _window_lists(_matrix(rows["vec"], dim), rows["ids"].tolist(), range(done, stop), k, window)
+        part = rows.iloc[done:stop]
+        host = ~part["guest"].to_numpy(bool)
+        out = pd.DataFrame({"name": part["name"].to_numpy()[host], "id": part["id"].to_numpy()[host], "found": pd.Series([f for f, h in zip(lists, host, strict=True) if h], dtype=object)})
+        cut = max(0, stop - window)
+        held, done = [rows.iloc[cut:].reset_index(drop=True)], stop - cut
+        return out
+
+    for pdf in batches:
+        for key, part in pdf.groupby(["name", "curve", "block"], sort=False):
+            if key != group:
+                if held:
+                    yield flush(True)
+                held, group, done = [], key, 0
+            held.append(part)
+            if sum(map(len, held)) - done >= chunk + window:
+                yield flush(False)
+    if held:
+        yield flush(True)
 
 
 _FOUND = "array<struct<score:bigint,other:string>>"
@@ -161,7 +194,7 @@ def nearest(vecs: DataFrame, dim: int, k: int, curves: int = CURVES, window: int
         part = index.where(F.col("name") == name).select("vec", F.xxhash64("id").alias("tie"))
         drawn = (part.where(F.col("tie") % 1_000_003 < int(1_000_003 * SAMPLE * 1.1 / n)).limit(SAMPLE) if n > SAMPLE else part).toPandas()
         if len(drawn):
-            model.learn(name, _unit(_matrix(drawn["vec"], dim)), drawn["tie"].to_numpy(), -(-n // block))
+            model.learn(name, _unit(_matrix(drawn["vec"], dim)), drawn["tie"].to_numpy(), -(-n // block), window * len(drawn) / n)
     shared = spark.sparkContext.broadcast(model)
 
     def place(batches):
@@ -170,11 +203,19 @@ def nearest(vecs: DataFrame, dim: int, k: int, curves: int = CURVES, window: int
                 unit = _unit(_matrix(part["vec"], dim))
                 for c in range(curves):
                     key = shared.value.key(name, c, unit, part["tie"].to_numpy())
-                    at = np.searchsorted(shared.value.bounds[name][c], key, side="right")
-                    yield pd.DataFrame({"name": part["name"], "curve": np.int32(c), "block": at.astype(np.int32), "key": key, "id": part["id"], "ids": part["ids"], "vec": part["vec"]})
-
-    placed = index.withColumn("tie", F.xxhash64("id")).mapInPandas(place, "name string, curve int, block int, key bigint, id string, ids array<string>, vec binary")
-    lists = placed.groupBy("name", "curve", "block").applyInPandas(lambda pdf: _window_lists(pdf, dim, k, window), f"name string, id string, found {_FOUND}")
+                    bounds, (low, high) = shared.value.bounds[name][c], shared.value.near[name][c]
+                    at = np.searchsorted(bounds, key, side="right")
+                    after = np.flatnonzero((at < len(bounds)) & (key >= low[np.minimum(at, len(low) - 1)])) if len(low) else np.empty(0, int)
+                    before = np.flatnonzero((at > 0) & (key <= high[np.maximum(at - 1, 0)])) if len(high) else np.empty(0, int)
+                    rows = np.concatenate((np.arange(len(part)), after, before))
+                    block_of = np.concatenate((at, at[after] + 1, at[before] - 1)).astype(np.int32)
+                    guest = np.arange(len(rows)) >= len(part)
+                    taken = part.iloc[rows]
+                    yield pd.DataFrame({"name": taken["name"].to_numpy(), "curve": np.int32(c), "block": block_of, "key": key[rows], "guest": guest, "id": taken["id"].to_numpy(), "ids": taken["ids"].to_numpy(), "vec": taken["vec"].to_numpy()})
+
+    placed = index.withColumn("tie", F.xxhash64("id")).mapInPandas(place, "name string, curve int, block int, key bigint, guest boolean, id string, ids array<string>, vec binary")
+    ordered = placed.repartition("name", "curve", "block").sortWithinPartitions("name", "curve", "block", "key", "id")
+    lists = ordered.mapInPandas(lambda batches: _slide(batches, dim, k, window), f"name string, id string, found {_FOUND}")
     best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k)
     merged = materialize(lists.groupBy("name", "id").agg(best.alias("found")), "lists")
 
