@@ -248,8 +248,8 @@ def concept_cluster(edges: DataFrame, root: DataFrame, depth: int = 2, types: li
     """(root, uid, community, centrality): the ball around each root over conceptual edges, with
     modularity communities and betweenness inside it.
 
-    Both measures look at a whole ball at once.  A ball of at most two nodes, or of more than
-    ``most_edges`` edges, is one community with centrality 0.
+    Both measures look at a whole ball at once.  A ball of at most two nodes is one community with
+    centrality 0; of a ball of more than ``most_edges`` edges, which no task could hold, both are null.
     """
     types = types or ["extends", "subsumes", "analogous_to", "opposes", "translates_to"]
     ball = materialize(bfs(edges, root, depth, "both", types).select("root", "uid"), "ball")
@@ -267,7 +267,9 @@ def concept_cluster(edges: DataFrame, root: DataFrame, depth: int = 2, types: li
         return pd.DataFrame({"root": pdf["root"].iat[0], "uid": list(central), "community": [where[x] for x in central], "centrality": [round(v, 6) for v in central.values()]})
 
     measured = inside.join(small, "root", "left_semi").groupBy("root").applyInPandas(measure, f"root {kind}, uid {kind}, community int, centrality double")
-    return ball.join(measured, ["root", "uid"], "left").select("root", "uid", F.coalesce("community", F.lit(0)).alias("community"), F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
+    known = F.coalesce("edges", F.lit(0)) <= most_edges
+    rows = ball.join(measured, ["root", "uid"], "left").join(sizes, "root")
+    return rows.select("root", "uid", F.when(known, F.coalesce("community", F.lit(0))).alias("community"), F.when(known, F.coalesce("centrality", F.lit(0.0))).alias("centrality"))
 
 
 def constraint_violations(nodes: DataFrame, edges: DataFrame, constraints: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:

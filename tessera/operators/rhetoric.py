@@ -6,12 +6,16 @@ for the grouping that its result asks for.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicons as L
+from tessera.functions.phrases import phrase_ids, stands_alone
 from tessera.functions.text import sentences
 
 
@@ -87,18 +91,18 @@ def standard_form(premises: Column, conclusion: Column, inference_type: Column)
 
 
 def _terms(terms: list[str], lang: str) -> str:
-    joined = "|".join(t.replace("_", " ") for t in terms)
+    joined = "|".join(terms)
     return f"({joined})" if lang in ("ja", "zh") else rf"\b({joined})\b"
 
 
 def score_theses(
     docs: DataFrame, text: str, key: str, lang: str = "en", terms: list[str] | None = None, assertions: list[str] | None = None, exclusions: list[str] | None = None,
-    types: list[tuple[str, str]] | None = None, min_terms: int = 2, min_length: int | None = None, max_length: int = 500,
+    types: list[tuple[str, list[str]]] | None = None, min_terms: int = 2, min_length: int | None = None, max_length: int = 500,
 ) -> DataFrame:
     """(key, sentence_no, thesis, score, confidence, thesis_type, is_negation, universality): sentences
     that read like theses.  Score: up to five vocabulary hits, 1.5 for an assertion, 1 for a universal
     word, 1 for a definition; sentences too short, too long, excluded or with few hits do not count."""
-    terms = terms if terms is not None else L.THESIS_TERMS.get(lang, L.THESIS_TERMS["en"]).split()
+    terms = terms if terms is not None else L.THESIS_TERMS.get(lang, L.THESIS_TERMS["en"])
     assertions = L.THESIS_ASSERTIONS.get(lang, []) if assertions is None else assertions
     exclusions = L.THESIS_EXCLUSIONS.get(lang, []) if exclusions is None else exclusions
     types = L.THESIS_TYPES if types is None else types
@@ -109,7 +113,7 @@ def score_theses(
     hits = F.transform(F.regexp_extract_all(s, F.lit(_flags(_terms(terms, lang))), F.lit(1)), F.lower)
     rows = rows.where(fits).withColumn("hits", hits).where(F.size("hits") >= min_terms)
     score = F.least(F.size("hits"), F.lit(5)) + F.when(matches_any(s, assertions), 1.5).otherwise(0.0) + matches_any(s, [L.UNIVERSAL]).cast("int") + matches_any(s, [L.DEFINITION]).cast("int")
-    kind = F.coalesce(*[F.when(F.arrays_overlap("hits", F.array(*map(F.lit, words.split()))), name) for name, words in types])
+    kind = F.coalesce(*[F.when(F.arrays_overlap("hits", F.array(*map(F.lit, words))), name) for name, words in types])
     universal = F.regexp_count(s, F.lit(_flags(L.UNIVERSAL_WORDS)))
     total = universal + F.regexp_count(s, F.lit(_flags(L.PARTICULAR_WORDS)))
     return rows.select(
@@ -126,13 +130,60 @@ def top_theses(theses: DataFrame, key: str, k: int = 20, prefix: int = 50) -> Da
     return ranked.where(F.col("rank") <= k)
 
 
-def first_mentions(docs: DataFrame, text: str, key: str, labels: dict[str, str]) -> DataFrame:
+Labels = dict[str, str] | DataFrame
+#: Labels of one automaton; more of them are searched in several passes.
+LABELS = 200_000
+
+
+def _label_parts(labels: Labels) -> list[list[tuple[str, str]]]:
+    """(concept_id, lower-case label) in parts of about ``LABELS``; ``labels`` is a map of ids to labels
+    or a table (concept_id, label).  Null and empty labels do not occur."""
+    if isinstance(labels, dict):
+        return [[(c, x.lower()) for c, x in labels.items() if x]]
+    rows = labels.select(F.col("concept_id").cast("string").alias("concept_id"), F.lower("label").alias("label")).where("concept_id is not null and label <> ''").distinct()
+    parts = max(1, -(-rows.count() // LABELS))
+    return [[tuple(r) for r in rows.where(F.pmod(F.xxhash64("label"), F.lit(parts)) == i).collect()] for i in range(parts)]
+
+
+def _mentions(docs: DataFrame, text: str, key: str, labels: Labels, whole: bool) -> DataFrame:
+    """(key, concept_id, start, end): occurrences of labels regardless of case, those of one label
+    without overlap; only whole words, or only the first as a substring."""
+    rows = docs.select(F.col(f"`{key}`").alias(key), F.lower(F.col(f"`{text}`")).alias("t")).where("t <> ''")
+    kind = rows.schema[key].dataType.simpleString()
+    found = []
+    for part in _label_parts(labels):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            ids: dict[str, list[str]] = {}
+            for concept, label in shared.value:
+                ids.setdefault(label, []).append(concept)
+            automaton = ahocorasick.Automaton()
+            for label in ids:
+                automaton.add_word(label, label)
+            if ids:
+                automaton.make_automaton()
+            for pdf in batches:
+                out = []
+                for k, t in zip(pdf[key].tolist(), pdf["t"], strict=True) if ids else ():
+                    after: dict[str, int] = {}
+                    for last, label in automaton.iter(t):
+                        start, end = last + 1 - len(label), last + 1
+                        if start >= after.get(label, 0) and (whole or label not in after) and (not whole or stands_alone(t, start, end)):
+                            after[label] = end
+                            out += [(k, c, start, end) for c in ids[label]]
+                yield pd.DataFrame(out, columns=[key, "concept_id", "start", "end"])
+
+        found.append(rows.mapInPandas(search, f"`{key}` {kind}, concept_id string, start int, end int"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def first_mentions(docs: DataFrame, text: str, key: str, labels: Labels) -> DataFrame:
     """(key, concept_id, start, end): first occurrence of each label as a substring, regardless of
     case; half-open offsets from 0."""
-    low = F.lower(F.col(f"`{text}`"))
-    found = F.array(*[F.struct(F.lit(c).alias("concept_id"), (F.instr(low, label.lower()) - 1).alias("start"), F.lit(len(label)).alias("size")) for c, label in labels.items()])
-    rows = docs.select(F.col(f"`{key}`").alias(key), F.explode(F.filter(found, lambda x: x["start"] >= 0)).alias("x"))
-    return rows.select(key, "x.concept_id", "x.start", (F.col("x.start") + F.col("x.size")).alias("end"))
+    return _mentions(docs, text, key, labels, False)
 
 
 def mention_context(text: Column, start: Column) -> Column:
@@ -144,15 +195,10 @@ def mention_context(text: Column, start: Column) -> Column:
     return F.concat(F.ltrim(before), F.rtrim(F.when(stop > 0, F.substring(rest, F.lit(1), stop)).otherwise(rest)))
 
 
-def keyword_spans(docs: DataFrame, text: str, key: str, labels: dict[str, str], confidence: float = 0.6) -> DataFrame:
+def keyword_spans(docs: DataFrame, text: str, key: str, labels: Labels, confidence: float = 0.6) -> DataFrame:
     """(key, concept_id, start, end, confidence): every whole-word occurrence of each label regardless
     of case, half-open offsets from 0 in characters."""
-    rows = docs.select(F.col(f"`{key}`").alias(key), F.lower(F.col(f"`{text}`")).alias("t"))
-    parts = F.array(*[F.struct(F.lit(c).alias("concept_id"), F.lit(len(label)).alias("size"), F.split("t", rf"(?U)\b{label.lower()}\b", -1).alias("gaps")) for c, label in labels.items()])
-    some = rows.select(key, F.explode(F.filter(parts, lambda x: F.size(x["gaps"]) > 1)).alias("x")).select(key, "x.*")
-    gaps = some.select(key, "concept_id", "size", F.posexplode(F.transform("gaps", lambda g: F.length(g))).alias("i", "g"), F.transform("gaps", lambda g: F.length(g)).alias("lens"))
-    start = F.aggregate(F.slice("lens", F.lit(1), F.col("i") + 1), F.lit(0), lambda a, g: a + g) + F.col("i") * F.col("size")
-    return gaps.where(F.col("i") < F.size("lens") - 1).select(key, "concept_id", start.alias("start"), (start + F.col("size")).alias("end"), F.lit(confidence).alias("confidence"))
+    return _mentions(docs, text, key, labels, True).withColumn("confidence", F.lit(confidence))
 
 
 def relevance(docs: DataFrame, title: str, abstract: str, lang: str, keywords: list[str] | None = None, native: dict[str, list[str]] | None = None, excluded: list[str] | None = None, traditions: dict[str, list[str]] | None = None) -> DataFrame:
@@ -170,23 +216,29 @@ def relevance(docs: DataFrame, title: str, abstract: str, lang: str, keywords: l
     docs = docs.withColumn("__text", F.concat(low(title), F.lit(" "), low(abstract)))
     text = F.col("__text")
     code = F.coalesce(F.col(f"`{lang}`"), F.lit("unknown"))
-    count = lambda words: reduce(lambda a, b: a + b, [F.contains(text, F.lit(w.lower())).cast("int") for w in words], F.lit(0))
+    patterns: list[str] = []
+
+    def number(words: list[str], plain: bool = True) -> tuple[int, int]:
+        start = len(patterns)
+        patterns.extend(re.escape(w.lower()).replace("\\ ", " ").replace("\\-", "-") if plain else w.replace(r"(?!on\b)", "") for w in words)
+        return start, len(patterns)
+
+    spans = {"keywords": number(keywords), "excluded": number(excluded)}
+    own_spans = {k: number(words) for k, words in native.items()}
+    named_spans = {t: number(ps, False) for t, ps in traditions.items()}
+    docs = docs.withColumn("__ids", phrase_ids(text, patterns))
+    count = lambda span: F.size(F.filter("__ids", lambda i: (i >= span[0]) & (i < span[1])))
     own = F.lit(0)
-    for k, words in native.items():
-        own = F.when(code == k, count(words)).otherwise(own)
-    hits = count(keywords) + own
+    for k, span in own_spans.items():
+        own = F.when(code == k, count(span)).otherwise(own)
+    hits = count(spans["keywords"]) + own
     foreign = ~code.isin("en", "unknown")
     base = F.when(foreign & (own > 0), 25).when(foreign & (hits == 0) & (F.length(text) > 50), 15).otherwise(0)
-    barred = ~foreign & reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in excluded], F.lit(False))
-
-    def matched(patterns: list[str]) -> Column:
-        tests = [text.rlike(f"(?U){p}") if p.startswith(r"\b") else F.contains(text, F.lit(p)) for p in patterns]
-        return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-    named = F.array_compact(F.array(*[F.when(matched(ps), F.lit(t)) for t, ps in traditions.items()])) if traditions else F.array().cast("array<string>")
+    barred = ~foreign & (count(spans["excluded"]) > 0)
+    named = F.array_compact(F.array(*[F.when(count(span) > 0, F.lit(t)) for t, span in named_spans.items()])) if traditions else F.array().cast("array<string>")
     total = F.least(hits * 10, F.lit(50)) + base - F.when(barred, 30).otherwise(0) + F.when(F.length(low(abstract)) > 200, 10).otherwise(0)
     scored = docs.drop("score", "excluded", "traditions", "is_core").withColumns({"excluded": barred, "traditions": named, "__total": total})
-    scored = scored.withColumn("score", F.greatest(F.lit(0), F.col("__total") + 15 * F.size("traditions"))).drop("__total", "__text")
+    scored = scored.withColumn("score", F.greatest(F.lit(0), F.col("__total") + 15 * F.size("traditions"))).drop("__total", "__text", "__ids")
     return scored.withColumn("is_core", (F.col("score") >= 40) & ~F.col("excluded"))
 
 

@@ -7,6 +7,8 @@ threshold leave it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,37 +69,74 @@ def centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
     return whole.select("label", F.transform("c", lambda e: F.when(F.col("n") > 1e-9, e["x"] / F.col("n")).otherwise(e["x"])).alias("centroid"))
 
 
+#: Labels whose prototypes one task holds.
+PROTOTYPES = 10_000
+
+
 def classify(df: DataFrame, id_col: str, vec: str, prototypes: DataFrame, top: int = 3) -> DataFrame:
-    """(id, rank, label, score): the ``top`` labels of each row by inner product with the prototypes.
+    """(id, rank, label, score): the ``top`` labels of each row by inner product with the prototypes,
+    ties to the smaller label.
 
-    The prototypes (label, centroid) are one row per label; they travel as one array per row only
-    after their number is checked to be small.
+    The prototypes (label, centroid) are one row per label.  Up to ``PROTOTYPES`` of them are broadcast;
+    of more, every block of them meets every row and the best of all blocks are kept.
     """
-    rows = prototypes.select("label", "centroid").orderBy("label").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("too many labels for prototype classification")
-    if not rows:
-        raise ValueError("no examples")
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    kind = prototypes.schema["label"].dataType
-    labels, matrix = [r["label"] for r in rows], np.array([r["centroid"] for r in rows])
-    shared = df.sparkSession.sparkContext.broadcast((labels, matrix))
-    id_type = df.schema[id_col].dataType
+    n = prototypes.count()
+    if not n:
+        raise ValueError("no examples")
+    kind, id_type = prototypes.schema["label"].dataType, df.schema[id_col].dataType
     schema = StructType([StructField("id", id_type), StructField("rank", IntegerType()), StructField("label", kind), StructField("score", DoubleType())])
-
-    def score(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
+    slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec}`").cast("array<double>").alias("v")).where("v is not null")
+    blocks = -(-n // PROTOTYPES)
+    numbered = prototypes.select("label", "centroid", F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("b"))
+    found = []
+    for block in range(blocks):
+        rows = numbered.where(F.col("b") == block).select("label", "centroid").orderBy("label").collect()
+        shared = df.sparkSession.sparkContext.broadcast(([r["label"] for r in rows], np.array([r["centroid"] for r in rows])))
+
+        def score(batches, shared=shared):
             names, m = shared.value
-            s = np.round(np.stack(pdf["v"].to_numpy()).astype(float) @ m.T, 6)
-            order = np.argsort(-s, axis=1, kind="stable")[:, :top]
-            ids = pdf["id"].tolist()
-            yield pd.DataFrame([(ids[i], r + 1, names[j], s[i, j]) for i in range(len(ids)) for r, j in enumerate(order[i])], columns=["id", "rank", "label", "score"])
+            for pdf in batches:
+                if not len(pdf) or not len(names):
+                    continue
+                s = np.round(np.stack(pdf["v"].to_numpy()).astype(float) @ m.T, 6)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :top]
+                ids = pdf["id"].tolist()
+                yield pd.DataFrame([(ids[i], r + 1, names[j], s[i, j]) for i in range(len(ids)) for r, j in enumerate(order[i])], columns=["id", "rank", "label", "score"])
+
+        found.append(slim.mapInPandas(score, schema))
+    if blocks == 1:
+        return found[0]
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "label")))
+    return ranked.where(F.col("rank") <= top).select("id", F.col("rank").cast("int").alias("rank"), "label", "score")
+
+
+def label_strengths(queries: DataFrame, base: DataFrame, id_col: str, vec: str, label: str, threshold: float, best: int = 5, block: int = BLOCK) -> DataFrame:
+    """(query_label, other_label, strength): mean of the ``best`` highest similarities above
+    ``threshold`` between rows of two labels.  Every pair of blocks hands on only its own best of each
+    pair of labels, so no list of similar pairs is ever made."""
+    slim = lambda df: df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{label}`").alias("label"), F.col(f"`{vec}`").cast("array<double>").alias("v")).where("id is not null and v is not null")
+    q, b = slim(queries), slim(base)
+    nq, nb = _blocks(q, block), _blocks(b, block)
+    q = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq))).withColumn("bb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nb - 1).cast("bigint"))))
+    b = b.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nq - 1).cast("bigint"))))
 
-    slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec}`").cast("array<double>").alias("v")).where("v is not null")
-    return slim.mapInPandas(score, schema)
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for p, left in x.groupby("label"):
+            for o, right in y.groupby("label"):
+                u, w = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+                scale = np.outer(np.linalg.norm(u, axis=1), np.linalg.norm(w, axis=1))
+                s = np.round(np.divide(u @ w.T, scale, out=np.zeros_like(scale), where=scale > 1e-18), 6)
+                s[left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = -np.inf
+                some = s[s > threshold]
+                out += [(p, o, v) for v in (np.partition(some, len(some) - best)[-best:] if len(some) > best else some)]
+        return pd.DataFrame(out, columns=["query_label", "other_label", "similarity"])
+
+    kind = base.schema[label].dataType.simpleString()
+    kept = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(meet, f"query_label {kind}, other_label {kind}, similarity double")
+    return best_chunk_means(kept, ["query_label", "other_label"], "similarity", best)
 
 
 def best_chunk_means(pairs: DataFrame, by: list[str], score: str, best: int = 5) -> DataFrame:
@@ -150,33 +189,25 @@ def _average_linkage(v: np.ndarray, within: float) -> np.ndarray:
     return np.unique(labels, return_inverse=True)[1]
 
 
-def meaning_clusters(df: DataFrame, term: str, seq: str, vec: str, within: float = 0.5, most: int = 2000) -> DataFrame:
+def meaning_clusters(df: DataFrame, term: str, seq: str, vec: str, within: float = 0.5, most: int = 5000) -> DataFrame:
     """(term, seq, cluster): average-linkage clusters of each term's usages by cosine distance, in order
     of their first usage; fewer than three usages are one cluster.
 
-    Linkage compares all usages of a term, so a term of more than ``most`` different vectors is cut by
-    a hash into parts that are clustered apart and whose centres are then clustered.
+    Linkage compares all usages of a term in one task; of a term of more than ``most`` usages, which no
+    task could hold, the cluster is null.
     """
     rows = df.select(F.lower(F.col(f"`{term}`")).alias("term"), F.col(f"`{seq}`").cast("bigint").alias("seq"), F.col(f"`{vec}`").cast("array<double>").alias("v")).where("v is not null")
     sizes = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    parted = rows.join(sizes, "term").withColumn("part", F.when(F.col("n") > most, F.pmod(F.xxhash64("seq"), F.ceil(F.col("n") / most))).otherwise(0).cast("bigint")).drop("n")
+    large = sizes.where(F.col("n") > most).select("term")
 
-    def inner(pdf: pd.DataFrame) -> pd.DataFrame:
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        return pdf[["term", "part", "seq"]].assign(local=_average_linkage(np.stack(pdf["v"].to_numpy()), within).astype("int64"))
-
-    local = parted.groupBy("term", "part").applyInPandas(inner, "term string, part bigint, seq bigint, local bigint")
-    members = local.join(parted.select("term", "seq", "v"), ["term", "seq"])
-    cells = members.select("term", "part", "local", "seq", F.posexplode("v").alias("i", "x")).groupBy("term", "part", "local", "i").agg(F.avg("x").alias("x"), F.min("seq").alias("first"))
-    centres = cells.groupBy("term", "part", "local").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"), F.min("first").alias("first"))
-
-    def outer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first")
-        merged = _average_linkage(np.stack(pdf["v"].to_numpy()), within) if pdf["part"].nunique() > 1 else np.arange(len(pdf))
-        return pdf[["term", "part", "local"]].assign(cluster=merged.astype("int64"))
+        labels = _average_linkage(np.stack(pdf["v"].to_numpy()), within)
+        order: dict[int, int] = {}
+        return pdf[["term", "seq"]].assign(cluster=[order.setdefault(int(x), len(order)) for x in labels])
 
-    merged = centres.groupBy("term").applyInPandas(outer, "term string, part bigint, local bigint, cluster bigint")
-    return local.join(merged, ["term", "part", "local"]).select("term", "seq", "cluster")
+    held = rows.join(large, "term", "left_anti").groupBy("term").applyInPandas(link, "term string, seq bigint, cluster bigint")
+    return held.unionByName(rows.join(large, "term", "left_semi").select("term", "seq", F.lit(None).cast("bigint").alias("cluster")))
 
 
 def monotone_align(left: DataFrame, right: DataFrame, by: list[str], seq: str, vec: str, min_score: float = 0.0) -> DataFrame:

@@ -9,6 +9,7 @@ from tessera.functions import lexicons as L
 from tessera.functions import text as T
 from tessera.operators import annotation as A
 from tessera.operators import rhetoric as R
+from tessera.operators.packed import explode_packed
 from tessera.sources.readers import new_records
 from tessera.storage import read_table
 from tessera.streaming.incremental import session_counts, windowed_counts
@@ -155,7 +156,7 @@ def _any_sql(column: str, patterns: list[str]) -> str:
     return f"regexp_matches({column}, '(?i){joined}')"
 
 
-_TERMS = "|".join(t.replace("_", " ") for t in L.THESIS_TERMS["en"].split())
+_TERMS = "|".join(L.THESIS_TERMS["en"])
 _EN_NEGATION = r"\b(not|no|never|neither|nor|cannot|impossible)\b"
 
 
@@ -165,7 +166,7 @@ x AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1)::INT AS sentence_
 h AS (SELECT *, list_transform(regexp_extract_all(s, '(?i)\b({_TERMS})\b', 1), lambda w: lower(w)) AS hits FROM x WHERE length(s) BETWEEN 30 AND 500 AND NOT {_any_sql('s', L.THESIS_EXCLUSIONS['en'])})
 SELECT doc_id, sentence_no, (least(len(hits), 5) + CASE WHEN {_any_sql('s', L.THESIS_ASSERTIONS['en'])} THEN 1.5 ELSE 0 END + CASE WHEN {_any_sql('s', [L.UNIVERSAL])} THEN 1 ELSE 0 END
   + CASE WHEN {_any_sql('s', [L.DEFINITION])} THEN 1 ELSE 0 END)::DOUBLE AS score,
-  CASE {' '.join(f"WHEN list_has_any(hits, [{_listed(words.split())}]) THEN '{name}'" for name, words in L.THESIS_TYPES)} END AS thesis_type, {_any_sql('s', [_EN_NEGATION])} AS is_negation
+  CASE {' '.join(f"WHEN list_has_any(hits, [{_listed(words)}]) THEN '{name}'" for name, words in L.THESIS_TYPES)} END AS thesis_type, {_any_sql('s', [_EN_NEGATION])} AS is_negation
 FROM h WHERE len(hits) >= 2"""
 )
 def thesis_scores(spark, sf_dir):
@@ -174,12 +175,6 @@ def thesis_scores(spark, sf_dir):
     return found.select("doc_id", "sentence_no", "score", "thesis_type", "is_negation")
 
 
-@query()
-def top_theses(spark, sf_dir):
-    """The twenty most confident theses of each English document."""
-    return R.top_theses(R.score_theses(_docs(spark, sf_dir).where("lang = 'en'"), "text", "doc_id"), "doc_id").select("doc_id", "rank", "sentence_no", "confidence")
-
-
 def _relevance_sql() -> str:
     count = lambda words: " + ".join(f"contains(t, '{w}')::INT" for w in words).replace("kant's", "kant''s")
     own = "CASE " + " ".join(f"WHEN lang = '{k}' THEN {count(ws)}" for k, ws in L.KEYWORDS.items()) + " ELSE 0 END"
@@ -242,7 +237,7 @@ def token_set_diff(spark, sf_dir):
     return pairs.select("doc_id", *[F.size(c).cast("bigint").alias(n) for n, c in diff.items()])
 
 
-_LABELS = {"L1": "truth", "L2": "freedom", "L3": "nature", "L4": "mind-body"}
+_LABELS = {f"L{i}": label for i, label in enumerate(L.KEYWORD_LABELS, 1)}
 _LABELS_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _LABELS.items()) + ") AS l(concept_id, label)"
 _SPANS_SQL = rf"""s AS (SELECT doc_id, concept_id, length(label) AS n, list_transform(string_split_regex(lower(text), '\b' || label || '\b'), lambda g: length(g)) AS lens FROM documents, {_LABELS_SQL} WHERE text IS NOT NULL),
 e AS (SELECT doc_id, concept_id, n, lens, unnest(range(1, len(lens))) AS i FROM s),
@@ -251,7 +246,7 @@ spans AS (SELECT doc_id, concept_id, (list_sum(lens[1:i]) + (i - 1) * n)::INT AS
 
 @query(f'WITH {_SPANS_SQL} SELECT doc_id, concept_id, start, "end", 0.6::DOUBLE AS confidence FROM spans')
 def keyword_spans(spark, sf_dir):
-    """All whole-word mentions of four labels."""
+    """All whole-word mentions of the labels of the keyword annotator."""
     return R.keyword_spans(_docs(spark, sf_dir).where("text is not null"), "text", "doc_id", _LABELS)
 
 
@@ -274,7 +269,7 @@ def span_overlap(spark, sf_dir):
 
 @query(f"""SELECT doc_id, concept_id, (strpos(lower(text), label) - 1)::INT AS start, (strpos(lower(text), label) - 1 + length(label))::INT AS "end" FROM documents, {_LABELS_SQL} WHERE strpos(lower(text), label) > 0""")
 def first_mentions(spark, sf_dir):
-    """First mention of four labels as substrings."""
+    """First mention of each of these labels as a substring."""
     return R.first_mentions(_docs(spark, sf_dir), "text", "doc_id", _LABELS)
 
 
@@ -325,18 +320,21 @@ def concept_search(spark, sf_dir):
     return read_table(spark, sf_dir, "concepts").select("concept_id", "label_en").where(F.ilike("label_en", F.lit("%truth%"))).distinct()
 
 
-@query(
-    r"""WITH c AS (SELECT DISTINCT concept_id, label_en, related_concepts FROM concepts),
-r AS (SELECT concept_id, trim(unnest(string_split_regex(related_concepts, '[,;]'))) AS related FROM c WHERE related_concepts IS NOT NULL)
-SELECT DISTINCT r.concept_id, r.related, c.label_en AS related_label FROM r LEFT JOIN c ON c.concept_id = r.related WHERE r.related <> ''"""
-)
+@query()
 def related_expansion(spark, sf_dir):
     """Related concepts with their labels, one step, kept where the target is missing."""
     concepts = read_table(spark, sf_dir, "concepts").select("concept_id", "label_en", "related_concepts").distinct()
-    related = concepts.where("related_concepts is not null").select("concept_id", F.explode(F.split("related_concepts", "[,;]")).alias("related")).select("concept_id", F.trim("related").alias("related")).where("related <> ''")
+    related = explode_packed(concepts.select("concept_id", "related_concepts"), "related_concepts", "related").select("concept_id", "related").distinct()
     return related.join(concepts.select(F.col("concept_id").alias("related"), F.col("label_en").alias("related_label")), "related", "left").select("concept_id", "related", "related_label").distinct()
 
 
+@query()
+def concept_mentions(spark, sf_dir):
+    """Whole-word mentions of every English concept label in every document."""
+    labels = read_table(spark, sf_dir, "concepts").select("concept_id", F.col("label_en").alias("label"))
+    return R.keyword_spans(_docs(spark, sf_dir), "text", "doc_id", labels).select("doc_id", "concept_id", "start", "end")
+
+
 def _events(spark, sf_dir) -> DataFrame:
     return read_table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
 

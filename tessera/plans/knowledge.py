@@ -62,10 +62,8 @@ SELECT query_label, other_label, strength, CASE WHEN strength > 0.9 THEN 'direct
 def influence_links(spark, sf_dir):
     """Mean of the five best similarities above 0.3 between labels."""
     vecs = _vectors(spark, sf_dir)
-    met = S.search(vecs.where("vec_id % 20 = 0"), vecs, "vec_id", "embedding", threshold=0.3)
-    labels = vecs.select("vec_id", "label")
-    met = met.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id").join(labels.select(F.col("vec_id").alias("other_id"), F.col("label").alias("other_label")), "other_id")
-    return S.best_chunk_means(met, ["query_label", "other_label"], "similarity").withColumn("influence_type", S.influence_type(F.col("strength")))
+    means = S.label_strengths(vecs.where("vec_id % 20 = 0"), vecs, "vec_id", "embedding", "label", 0.3)
+    return means.withColumn("influence_type", S.influence_type(F.col("strength")))
 
 
 @query(
@@ -128,15 +126,6 @@ def meaning_clusters(spark, sf_dir):
     return S.meaning_clusters(_vectors(spark, sf_dir).withColumn("term", F.col("label").cast("string")), "term", "vec_id", "embedding", 0.8)
 
 
-@query()
-def monotone_align(spark, sf_dir):
-    """Greedy alignment of the segments of neighbouring labels."""
-    vecs = _vectors(spark, sf_dir)
-    left = vecs.where("label % 2 = 0").select((F.col("label") / 2).cast("int").alias("pair"), "vec_id", "embedding")
-    right = vecs.where("label % 2 = 1").select((F.col("label") / 2).cast("int").alias("pair"), "vec_id", "embedding")
-    return S.monotone_align(left, right, ["pair"], "vec_id", "embedding")
-
-
 _F = """f AS (SELECT DISTINCT concept_id, definition, usage, relational FROM facets WHERE len(definition) = 64 AND len(usage) = 64 AND len(relational) = 64),
 n AS (SELECT *, regexp_extract(concept_id, '([0-9]+)$', 1)::INT AS i FROM f)"""
 
@@ -265,7 +254,7 @@ def pagerank(spark, sf_dir):
 @query()
 def concept_clusters(spark, sf_dir):
     """Communities and centrality around every region."""
-    return G.concept_cluster(_edges(spark, sf_dir).where("edge_type <> 'influences'"), _regions(spark, sf_dir), 2, ["subsumes", "extends"], 2000)
+    return G.concept_cluster(_edges(spark, sf_dir).where("edge_type <> 'influences'"), _regions(spark, sf_dir), 2, ["subsumes", "extends"])
 
 
 _NODES = "nodes AS (SELECT 'r:' || r_regionkey AS uid, 'Tradition' AS node_type FROM region UNION ALL SELECT 'n:' || n_nationkey, 'Concept' FROM nation UNION ALL SELECT 's:' || s_suppkey, 'Thinker' FROM supplier UNION ALL SELECT 'c:' || c_custkey, 'Concept' FROM customer UNION ALL SELECT 'p:' || p_partkey, 'Text' FROM part)"
@@ -351,7 +340,7 @@ def fuzzy_label_match(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT DISTINCT c_nationkey AS k, o_orderpriority AS role, c_mktsegment AS structure FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 200),
+    """WITH r AS (SELECT DISTINCT c_nationkey AS k, o_orderpriority AS role, c_mktsegment AS structure FROM customer JOIN orders ON o_custkey = c_custkey),
 s AS (SELECT k, list(DISTINCT role) AS roles, list(DISTINCT structure) AS structures FROM r GROUP BY 1),
 n AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1)
 SELECT a, b, round(CASE WHEN x.k IS NULL OR y.k IS NULL THEN 0.0 ELSE 0.6 * len(list_intersect(x.roles, y.roles)) / len(list_distinct(list_concat(x.roles, y.roles))) + 0.4 * len(list_intersect(x.structures, y.structures)) / len(list_distinct(list_concat(x.structures, y.structures))) END, 6)::DOUBLE AS score
@@ -360,6 +349,6 @@ FROM n LEFT JOIN s x ON x.k = a LEFT JOIN s y ON y.k = b"""
 def argumentative_alignment(spark, sf_dir):
     """Shared roles and structures of neighbouring nations."""
     customer, orders, nation = (read_table(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
-    roles = customer.where("c_acctbal < 200").join(orders, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("concept_id"), F.col("o_orderpriority").alias("role"), F.col("c_mktsegment").alias("structure"))
+    roles = customer.join(orders, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("concept_id"), F.col("o_orderpriority").alias("role"), F.col("c_mktsegment").alias("structure"))
     pairs = nation.select(F.col("n_nationkey").alias("a")).join(nation.select(F.col("n_nationkey").alias("b"), (F.col("n_nationkey") - 1).alias("a")), "a")
     return L.argumentative_scores(pairs, roles)
