@@ -99,38 +99,55 @@ def _alike(a: str, b: str, known: dict[str, set[str]]) -> bool:
 
 #: More like lines than this tell no more.
 TWINS = 5
+#: Up to so many different lines are compared by one product of matrices, which costs less than an index.
+FEW_LINES = 1000
 
 
-def _twins(cores: list[str], known: dict[str, set[str]]) -> dict[str, int]:
-    """How many other lines each core is like, ``TWINS`` at most.
+def _twins(cores: list[str]) -> dict[str, int]:
+    """How many other lines each core is like (see ``_alike``), ``TWINS`` at most.
 
-    Like cores share 0.7 of the letter pairs of the longer one, so two of the rarest 0.3 n + 2 of each
-    are common to both: only cores that meet in two such pairs are compared."""
+    Like cores share 0.7 of the letter pairs of the longer
+    one, so two of the rarest 0.3 n + 2 of each are common to both: of many lines only those that meet
+    in two such pairs are compared."""
     count = Counter(cores)
-    pairs = {c: known.setdefault(c, _pairs(c)) for c in count}
-    rarity = Counter(p for ps in pairs.values() for p in ps)
+    pairs = {c: _pairs(c) for c in count}
+    place: dict[str, int] = {}
+    for ps in pairs.values():
+        for p in ps:
+            place.setdefault(p, len(place))
+    if len(count) <= FEW_LINES:
+        has = np.zeros((len(count), len(place)), dtype=np.float32)
+        for i, ps in enumerate(pairs.values()):
+            has[i, [place[p] for p in ps]] = 1
+        size, length = has.sum(1), np.array([len(c) for c in count])
+        like = has @ has.T >= 0.7 * np.maximum(np.maximum(size[:, None], size), 1)
+        longer = np.maximum(length[:, None], length)
+        like &= np.abs(length[:, None] - length) <= 2 + longer // 12
+        np.fill_diagonal(like, False)
+        often = np.array(list(count.values()))
+        total = like @ often + often - 1
+        return dict(zip(count, np.minimum(total, TWINS).tolist(), strict=True))
+    bits = {c: sum(1 << place[p] for p in ps) for c, ps in pairs.items()}
+    found = {c: n - 1 for c, n in count.items()}
 
-    def keys(c: str) -> list[tuple[str, ...]]:
-        rare = sorted(pairs[c], key=lambda p: (rarity[p], p))[: int(0.3 * len(pairs[c])) + 2]
-        return list(combinations(rare, 2)) if len(rare) > 1 else [tuple(rare)]
+    def compare(a: str, b: str) -> None:
+        if (found[a] < TWINS or found[b] < TWINS) and abs(len(a) - len(b)) <= 2 + max(len(a), len(b)) // 12:
+            if (bits[a] & bits[b]).bit_count() >= 0.7 * max(len(pairs[a]), len(pairs[b]), 1):
+                found[a] += count[b]
+                found[b] += count[a]
 
+    rarity = Counter(p for ps in pairs.values() for p in ps)
     index: dict[tuple[str, ...], list[str]] = {}
-    for c in pairs:
-        for k in keys(c):
-            index.setdefault(k, []).append(c)
-    found = {c: n - 1 for c, n in count.items()}
-    for c in pairs:
-        seen = {c}
-        for k in keys(c):
-            if found[c] >= TWINS:
-                break
-            for other in index[k]:
+    for c, ps in pairs.items():
+        rare = sorted(ps, key=lambda p: (rarity[p], p))[: int(0.3 * len(ps)) + 2]
+        seen: set[str] = set()
+        for k in combinations(rare, 2) if len(rare) > 1 else (tuple(rare),):
+            held = index.setdefault(k, [])
+            for other in held:
                 if other not in seen:
                     seen.add(other)
-                    if _alike(c, other, known):
-                        found[c] += count[other]
-                        if found[c] >= TWINS:
-                            break
+                    compare(c, other)
+            held.append(c)
     return {c: min(n, TWINS) for c, n in found.items()}
 
 
@@ -162,7 +179,7 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
         sides.append(side)
     short = [j for j in range(len(at)) if 0 < len(cores[j]) and len(lines[at[j]].strip()) <= 1.25 * width]
     pairs: dict[str, set[str]] = {}
-    like = _twins([cores[j] for j in short], pairs)
+    like = _twins([cores[j] for j in short])
     twins = [0] * len(at)
     for j in short:
         twins[j] = like[cores[j]]

@@ -343,9 +343,11 @@ def test_twins_and_own_readings_as_by_brute_force():
     rng = random.Random(21)
     cores = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(6, 14))) for _ in range(60)]
     cores += [c[:-1] for c in cores[:20]] + cores[:10]
-    got = scans._twins(cores, {})
-    for i, c in enumerate(cores):
-        assert got[c] == min(scans.TWINS, sum(scans._alike(c, o, {}) for j, o in enumerate(cores) if j != i))
+    want = {c: min(scans.TWINS, sum(scans._alike(c, o, {}) for j, o in enumerate(cores) if j != i)) for i, c in enumerate(cores)}
+    assert scans._twins(cores) == want
+    few, scans.FEW_LINES = scans.FEW_LINES, 0
+    assert scans._twins(cores) == want
+    scans.FEW_LINES = few
     counts = Counter({"teacher": 4, "teacbcr": 1, "rneaning": 1, "meaning": 3, "nature": 2, "other": 1, "natvre": 2})
     assert scans.own_readings(counts) == {"teacbcr": "teacher", "rneaning": "meaning"}
 
