@@ -75,6 +75,10 @@ def merge_statistics(old_nodes: DataFrame, new_nodes: DataFrame, edges: DataFram
     return counts.withColumn("one", F.lit(1)).join(edges.agg(F.count(F.lit(1)).alias("edges_added")).withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def _corr(x: str, y: str) -> Column:
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by..., n, pearson, spearman) of two columns per group, ranks of ties averaged; null where a side
     is constant.  Rows with a null on either side do not count.
@@ -86,7 +90,7 @@ def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
         below = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
         ranks = counts.withColumn(f"r{c}", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2).drop("n")
         rows = rows.join(ranks, [*by, c])
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(_corr("x", "y"), 6).alias("pearson"), F.round(_corr("rx", "ry"), 6).alias("spearman"))
 
 
 def mean_of(columns: list[str]) -> Column:

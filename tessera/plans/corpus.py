@@ -10,6 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import annotation as A
 from tessera.operators import rhetoric as R
 from tessera.operators.packed import explode_packed
+from tessera.plans.general import PACKED_SQL
 from tessera.sources.readers import new_records
 from tessera.storage import read_table
 from tessera.streaming.incremental import session_counts, windowed_counts
@@ -320,7 +321,7 @@ def concept_search(spark, sf_dir):
     return read_table(spark, sf_dir, "concepts").select("concept_id", "label_en").where(F.ilike("label_en", F.lit("%truth%"))).distinct()
 
 
-@query()
+@query(f"SELECT DISTINCT r.concept_id, r.related, c.label_en AS related_label FROM ({PACKED_SQL}) r LEFT JOIN (SELECT DISTINCT concept_id, label_en FROM concepts) c ON c.concept_id = r.related")
 def related_expansion(spark, sf_dir):
     """Related concepts with their labels, one step, kept where the target is missing."""
     concepts = read_table(spark, sf_dir, "concepts").select("concept_id", "label_en", "related_concepts").distinct()

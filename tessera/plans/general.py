@@ -29,6 +29,22 @@ def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_descendants": p7_descendants}
 
+_BLANK = r'[\s\x{a0}\x{3000}]'
+_SEPARATORS = r';,|、，；｜\t\n\r'
+
+
+def _stripped(c: str) -> str:
+    return f"regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+# One item with the separator after it: a quoted span that is all of it, or anything up to there.
+_ITEM = rf'''{_BLANK}*("(?:[^"\\]|""|\\(?s:.))*"|“[^”]*”|(?:\\[{_SEPARATORS}/"\\]|[^{_SEPARATORS}])*?){_BLANK}*(?:[{_SEPARATORS}]|{_BLANK}/{_BLANK})'''
+PACKED_SQL = rf"""WITH c AS (SELECT DISTINCT concept_id, {_stripped('related_concepts')} AS s FROM concepts WHERE related_concepts IS NOT NULL AND concept_id IS NOT NULL),
+b AS (SELECT *, s LIKE '[%]' AS bracketed, CASE WHEN s LIKE '[%]' AND json_valid(s) THEN json_transform(s, '["VARCHAR"]') END AS listed FROM c WHERE s <> ''),
+i AS (SELECT concept_id, listed, regexp_extract_all(CASE WHEN bracketed THEN s[2:-2] ELSE s END || ';', '{_ITEM}', 1) AS items FROM b),
+u AS (SELECT concept_id, list_filter(CASE WHEN listed IS NOT NULL THEN list_transform(listed, lambda x: {_stripped('x')}) ELSE list_transform(list_transform(items, lambda x: {_stripped('x')}), lambda x: {_stripped(rf'''CASE WHEN x LIKE '"%"' AND length(x) > 1 THEN regexp_replace(replace(x[2:-2], '""', '"'), '(?s)\\(.)', '\1', 'g') WHEN x LIKE '“%”' THEN x[2:-2] ELSE regexp_replace(x, '\\([{_SEPARATORS}/"\\])', '\1', 'g') END''')}) END, lambda x: x <> '') AS v FROM i)
+SELECT concept_id, generate_subscripts(v, 1)::INT AS pos, unnest(v) AS related FROM u"""
+
 _P7_LINKS = """
 WITH RECURSIVE n AS (SELECT DISTINCT tradition_id AS node, regexp_replace(lower(regexp_replace(parent, '^[\\s\\x{a0}\\x{3000}]+|[\\s\\x{a0}\\x{3000}]+$', '', 'g')), '[^\\p{L}\\p{M}\\p{N}]+', '_', 'g') AS k FROM traditions),
 names AS (SELECT regexp_replace(lower(regexp_replace(node, '^[\\s\\x{a0}\\x{3000}]+|[\\s\\x{a0}\\x{3000}]+$', '', 'g')), '[^\\p{L}\\p{M}\\p{N}]+', '_', 'g') AS k, min(node) AS parent FROM n GROUP BY 1),
@@ -38,6 +54,7 @@ down AS (SELECT node, node AS root, 0 AS depth FROM l WHERE parent IS NULL
 """
 
 ORACLES = {
+    "p3_found": PACKED_SQL,
     "p7_found": _P7_LINKS
     + """, rest AS (SELECT node, parent FROM l WHERE node NOT IN (SELECT node FROM down)),
 up AS (SELECT node, parent AS seen, 1 AS step FROM rest
