@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,26 +114,46 @@ def vectors(df: DataFrame, id_col: str, columns: list[str], dim: int) -> DataFra
     return encoded.groupBy("name", "id").agg(F.min("vec").alias("vec"), F.min("raw").alias("raw")).select("name", "id", "vec", F.xxhash64("raw").alias("dir"))
 
 
-def _window_lists(v: np.ndarray, ids: list[list[str]], own: range, k: int, window: int) -> list[list[dict]]:
+def _window_lists(v: np.ndarray, ids: list[list[str]], own: range, k: int, window: int) -> pa.ListArray:
     """The k best of each of the rows ``own`` among its window; rows stand in the order of one curve."""
     unit = _unit(v.astype(np.float64))
     small = unit.astype(np.float32)
-    n, step, lists = len(v), 512, []
+    n, step = len(v), 512
     wide = min(k + 3, max(n - 1, 0))
+    first = np.array([x[0] for x in ids], dtype=object)
+    rank = pd.factorize(first, sort=True)[0].astype(np.int64)
+    several = np.array([len(x) > 1 for x in ids])
+    sizes, scores, others = [], [], []
     for a in range(own.start, own.stop, step):
         b = min(own.stop, a + step)
         lo, hi = max(0, a - window), min(n, b + window)
         s = small[a:b] @ small[lo:hi].T
         s[np.arange(b - a), np.arange(a - lo, b - lo)] = -2
         w = min(wide, hi - lo)
-        best = np.argpartition(s, hi - lo - w, axis=1)[:, hi - lo - w :] if w else np.empty((b - a, 0), dtype=int)
-        exact = np.einsum("ijd,id->ij", unit[lo + best], unit[a:b])
-        units = np.rint(exact * UNIT).astype(np.int64)
-        for i, (row, score) in enumerate(zip((best + lo).tolist(), units.tolist(), strict=True)):
-            found = [{"score": -c, "other": x} for j, c in zip(row, score, strict=True) if j != a + i for x in ids[j]]
-            found.sort(key=lambda f: (f["score"], f["other"]))
-            lists.append(found[:k])
-    return lists
+        best = lo + (np.argpartition(s, hi - lo - w, axis=1)[:, hi - lo - w :] if w else np.empty((b - a, 0), dtype=int))
+        units = np.rint(np.einsum("ijd,id->ij", unit[best], unit[a:b]) * UNIT).astype(np.int64)
+        itself = best == np.arange(a, b)[:, None]
+        # Highest similarity first, ties by the smaller id; a row itself comes last.
+        order = np.argsort((UNIT - units) * n + rank[best] + itself * (4 * UNIT * n), axis=1)
+        best, units, itself = (np.take_along_axis(x, order, axis=1) for x in (best, units, itself))
+        mixed = several[best].any(axis=1)
+        kept = ~itself
+        kept[:, k:] = False
+        for i in np.flatnonzero(mixed):
+            # Rows that stand for copies bring all their ids.
+            found = sorted((-c, x) for j, c in zip(best[i], units[i].tolist(), strict=True) if j != a + i for x in ids[j])[:k]
+            kept[i] = False
+            sizes.append((a + i, len(found)))
+            scores.append((a + i, np.array([f[0] for f in found], dtype=np.int64)))
+            others.append((a + i, np.array([f[1] for f in found], dtype=object)))
+        plain = np.flatnonzero(~mixed)
+        sizes += [(a + int(i), int(c)) for i, c in zip(plain, kept[plain].sum(axis=1), strict=True)]
+        scores += [(a + int(i), -units[i][kept[i]]) for i in plain]
+        others += [(a + int(i), first[best[i][kept[i]]]) for i in plain]
+    in_order = lambda parts: [x for _, x in sorted(parts, key=lambda p: p[0])]
+    offsets = np.concatenate(([0], np.cumsum(in_order(sizes), dtype=np.int64))).astype(np.int32)
+    flat = lambda parts, kind: pa.array(np.concatenate(in_order(parts)) if parts else [], type=kind)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([flat(scores, pa.int64()), flat(others, pa.string())], ["score", "other"]))
 
 
 def _slide(batches, dim: int, k: int, window: int, chunk: int = 4096):
@@ -145,16 +166,16 @@ def _slide(batches, dim: int, k: int, window: int, chunk: int = 4096):
         nonlocal held, done
         rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
         stop = len(rows) if last else max(done, len(rows) - window)
-        lists = _window_lists(_matrix(rows["vec"], dim), rows["ids"].tolist(), range(done, stop), k, window)
+        lists = _window_lists(_matrix(rows["vec"], dim), [list(x) for x in rows["ids"]], range(done, stop), k, window)
         part = rows.iloc[done:stop]
-        host = ~part["guest"].to_numpy(bool)
-        out = pd.DataFrame({"name": part["name"].to_numpy()[host], "id": part["id"].to_numpy()[host], "found": pd.Series([f for f, h in zip(lists, host, strict=True) if h], dtype=object)})
+        out = pa.RecordBatch.from_arrays([pa.array(part["name"], pa.string()), pa.array(part["id"], pa.string()), lists], ["name", "id", "found"])
+        out = out.filter(pa.array(~part["guest"].to_numpy(bool)))
         cut = max(0, stop - window)
         held, done = [rows.iloc[cut:].reset_index(drop=True)], stop - cut
         return out
 
-    for pdf in batches:
-        for key, part in pdf.groupby(["name", "curve", "block"], sort=False):
+    for batch in batches:
+        for key, part in batch.to_pandas().groupby(["name", "curve", "block"], sort=False):
             if key != group:
                 if held:
                     yield flush(True)
@@ -215,7 +236,7 @@ def nearest(vecs: DataFrame, dim: int, k: int, curves: int = CURVES, window: int
 
     placed = index.withColumn("tie", F.xxhash64("id")).mapInPandas(place, "name string, curve int, block int, key bigint, guest boolean, id string, ids array<string>, vec binary")
     ordered = placed.repartition("name", "curve", "block").sortWithinPartitions("name", "curve", "block", "key", "id")
-    lists = ordered.mapInPandas(lambda batches: _slide(batches, dim, k, window), f"name string, id string, found {_FOUND}")
+    lists = ordered.mapInArrow(lambda batches: _slide(batches, dim, k, window), f"name string, id string, found {_FOUND}")
     best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k)
     merged = materialize(lists.groupBy("name", "id").agg(best.alias("found")), "lists")
 

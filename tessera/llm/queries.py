@@ -134,3 +134,9 @@ JOIN (SELECT DISTINCT concept_id, {f} FROM facets WHERE len({f}) = 64 AND list_a
         for f in ("definition", "usage", "relational")
     ),
 }
+
+# Words and signs, or the letters of scripts without blanks: the results are the same under any tokenizer.
+_SIZE_SQL = r"coalesce(greatest(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')), len(regexp_extract_all(text, '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]'))), 0)"
+ORACLES["p8_found"] = f"SELECT DISTINCT doc_id FROM documents WHERE {_SIZE_SQL} > 4096"
+ORACLES["p9_found"] = f"""WITH d AS (SELECT source, sum({_SIZE_SQL}) AS n FROM documents GROUP BY 1), t AS (SELECT sum(n) AS total FROM d)
+SELECT w.source FROM mix_weights w CROSS JOIN t LEFT JOIN d USING (source) WHERE coalesce(d.n, 0) * w.max_repeat < w.weight_bp / 10000 * t.total"""

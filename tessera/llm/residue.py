@@ -112,6 +112,7 @@ _EDGES = ".,;:!?\"'()…“”’‘、。，；：！？"
 _PLAIN = re.compile("|".join(f"(?:{p})" for p in PLAIN_SLOTS))
 _MESSAGE = re.compile("|".join(f"(?:{p})" for p in MESSAGES))
 _LATIN, _KEYS = set(LATIN), set(FILLER)
+_DUMMY = _LATIN | _KEYS
 
 
 def _bare(name: str) -> str:
@@ -137,19 +138,23 @@ class Lexicon:
 
     def __init__(self, common: set[str], running: set[str], names: set[str]):
         self.common, self.running, self.names = common, running, names
+        self.known = common - names - DEFAULTS
+        self.known_running = self.known & running
 
     def is_running(self, words: list[str]) -> bool:
-        known = [w for w in words if w in self.common and w not in self.names]
-        return bool(known) and sum(w in self.running for w in known) > len(known) / 2
+        known = len(self.known.intersection(words))
+        return known > 0 and len(self.known_running.intersection(words)) > known / 2
 
-    def frame(self, unit: str) -> tuple[str, list[tuple[str, str]]]:
+    def frame(self, unit: str, words: list[str]) -> tuple[str, list[tuple[str, str]]]:
         """(frame, values): each value with its kind: name (by its form), word (a variable name in use
         that is also a word), default or value."""
-        words = words_of(unit)
         plain = self.is_running(words)
         common, names = self.common, self.names
         if not _CODED.search(unit):
-            tokens = [(w, "" if w in common and (plain or w not in names) and w not in DEFAULTS else "default" if w in DEFAULTS else "word" if w in names and not plain else "value") for w in words]
+            plainly = common if plain else self.known
+            if plainly.issuperset(words):
+                return " ".join(words), []
+            tokens = [(w, "" if w in plainly and w not in DEFAULTS else "default" if w in DEFAULTS else "word" if w in names and not plain else "value") for w in words]
         else:
             tokens = []
             for chunk in unit.split():
@@ -177,8 +182,9 @@ class Lexicon:
         return " ".join(fixed), values
 
 
-def _is_filler(unit: str) -> bool:
-    words = _WORD.findall(unit.lower())
+def _is_filler(words: list[str]) -> bool:
+    if len(_DUMMY.intersection(words)) < 2:
+        return False
     latin, keys = sum(w in _LATIN for w in words), sum(w in _KEYS for w in words)
     return (latin >= 5 and latin * 2 >= len(words)) or (keys >= 3 and keys * 10 >= len(words) * 9 and ("asdf" in words or "blah" in words or "xxx" in words))
 
@@ -253,14 +259,16 @@ def _look(lexicon) -> callable:
                     if len(sentences) < 3 and not words.is_running(own) and own:
                         mask = re.sub(r"[0-9]+", "0", " ".join(line.lower().split()))
                         rows.append(("line", code(mask), version, doc, 1, int(not bodies), int(k + 1 == len(units))))
-                    for unit in dict.fromkeys((line, *sentences)):
-                        filler = filler or _is_filler(unit)
+                    # A line of several sentences is looked at by its sentences.
+                    for unit in dict.fromkeys((line, *sentences)) if len(sentences) < 3 else dict.fromkeys(sentences):
+                        inner = own if unit == line else words_of(unit)
+                        filler = filler or _is_filler(inner)
                         if cued and not message:
                             low = " ".join(unit.lower().split())
                             message = next(cues.iter(low), None) is not None and _MESSAGE.search(low) is not None
-                        frame, values = words.frame(unit)
+                        frame, values = words.frame(unit, inner)
                         if not values or frame == _SLOT:
-                            if frame and unit == line and _LABEL.fullmatch(line):
+                            if frame and len(sentences) < 2 and _LABEL.fullmatch(line):
                                 rows.append(("blank", code(f"{frame} {_SLOT}"), 0, doc, 1, 0, 0))
                             continue
                         spot = code(frame)
