@@ -45,6 +45,8 @@ LOOKALIKES = {
         "g~q g~9 q~9 b~6 b~8 o~6 z~2 g~y p~q k~h d~cl d~ol n~ri n~ii u~ll w~iv ä~a ö~o ü~u é~e è~e ß~b ç~c ñ~n ã~a õ~o ſ~s ſ~f ﬁ~fi ﬂ~fl í~i ó~o á~a ê~e â~a"
     ).split()
 }
+#: Pairs of look-alikes in both orders.
+_LOOKS = {pair for x in LOOKALIKES for y in [tuple(x)] if len(y) == 2 for pair in (y, y[::-1])}
 _DIGITS = str.maketrans("015698", "olsbgb")
 _HYPHENS = "-­¬‐‑"
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -77,8 +79,11 @@ def _value(number: str) -> int | None:
     return int(digits) if digits.isdigit() else None
 
 
+_OTHER = re.compile(r"[\W\d_]+")
+
+
 def _core(text: str) -> str:
-    return re.sub(r"[\W\d_]+", "", text.lower().translate(_DIGITS))
+    return _OTHER.sub("", text.lower().translate(_DIGITS))
 
 
 def _pairs(s: str) -> set[str]:
@@ -110,15 +115,13 @@ def _twins(cores: list[str]) -> dict[str, int]:
     one, so two of the rarest 0.3 n + 2 of each are common to both: of many lines only those that meet
     in two such pairs are compared."""
     count = Counter(cores)
-    pairs = {c: _pairs(c) for c in count}
-    place: dict[str, int] = {}
-    for ps in pairs.values():
-        for p in ps:
-            place.setdefault(p, len(place))
     if len(count) <= FEW_LINES:
-        has = np.zeros((len(count), len(place)), dtype=np.float32)
-        for i, ps in enumerate(pairs.values()):
-            has[i, [place[p] for p in ps]] = 1
+        codes = np.frombuffer("".join(count).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(count)), [len(c) for c in count])
+        inside = np.flatnonzero(row[1:] == row[:-1])
+        _, column = np.unique((codes[inside] << np.uint64(32)) | codes[inside + 1], return_inverse=True)
+        has = np.zeros((len(count), int(column.max(initial=-1)) + 1), dtype=np.float32)
+        has[row[inside], column] = 1
         size, length = has.sum(1), np.array([len(c) for c in count])
         like = has @ has.T >= 0.7 * np.maximum(np.maximum(size[:, None], size), 1)
         longer = np.maximum(length[:, None], length)
@@ -127,6 +130,8 @@ def _twins(cores: list[str]) -> dict[str, int]:
         often = np.array(list(count.values()))
         total = like @ often + often - 1
         return dict(zip(count, np.minimum(total, TWINS).tolist(), strict=True))
+    pairs = {c: _pairs(c) for c in count}
+    place = {p: i for i, p in enumerate({p for ps in pairs.values() for p in ps})}
     bits = {c: sum(1 << place[p] for p in ps) for c, ps in pairs.items()}
     found = {c: n - 1 for c, n in count.items()}
 
@@ -152,6 +157,7 @@ def _twins(cores: list[str]) -> dict[str, int]:
 
 
 LINE_FEATURES = 17
+_CLOSED, _ENDED = re.compile(r"[.!?:;,»”\"')。！？；，」』]$"), re.compile(r"[.!?:»”\"')。！？」』]$")
 
 
 def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[list[int], np.ndarray]:
@@ -206,8 +212,8 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
                 len(text) / width,
                 as_title,
                 as_author,
-                bool(re.search(r"[.!?:;,»”\"')。！？；，」』]$", text)),
-                bool(before) and not re.search(r"[.!?:»”\"')。！？」』]$", before),
+                bool(_CLOSED.search(text)),
+                bool(before) and not _ENDED.search(before),
                 bool(after) and after[0].islower(),
                 i == 0 or not lines[i - 1].strip(),
                 i + 1 >= len(lines) or not lines[i + 1].strip(),
@@ -239,28 +245,37 @@ def difference(word: str, other: str) -> tuple[str, str, int]:
     return word[a : len(word) - b], other[a : len(other) - b], a
 
 
+#: No reading may cost more.
+DEAREST = 1.1
+
+
 def sight_cost(x: str, y: str) -> float:
-    """Edit cost in which a confusion of look-alike letters counts a third."""
-    if frozenset((x, y)) in LOOKALIKES:
+    """Edit cost in which a confusion of look-alike letters counts a third; 9 beyond ``DEAREST``."""
+    if (x, y) in _LOOKS:
         return 0.35
-    rows = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    rows: list[list[float]] = []
     for i in range(len(x) + 1):
+        row = [0.0] * (len(y) + 1)
         for j in range(len(y) + 1):
             if not i and not j:
                 continue
             best = 9.0
             if i:
                 best = rows[i - 1][j] + 1
-            if j:
-                best = min(best, rows[i][j - 1] + 1)
+            if j and row[j - 1] + 1 < best:
+                best = row[j - 1] + 1
             if i and j:
                 best = min(best, rows[i - 1][j - 1] + (x[i - 1] != y[j - 1]))
-            for p in (1, 2, 3):
-                for q in (1, 2):
-                    if p <= i and q <= j and frozenset((x[i - p : i], y[j - q : j])) in LOOKALIKES:
-                        best = min(best, rows[i - p][j - q] + 0.35)
-            rows[i][j] = best
-    return rows[-1][-1]
+            for p in (1, 2, 3)[: min(i, 3)]:
+                above = rows[i - p]
+                for q in (1, 2, 3)[: min(j, 3)]:
+                    if above[j - q] + 0.35 < best and (x[i - p : i], y[j - q : j]) in _LOOKS:
+                        best = above[j - q] + 0.35
+            row[j] = best
+        rows.append(row)
+        if i >= 2 and min(map(min, rows[-3:])) > DEAREST:
+            return 9.0
+    return rows[-1][-1] if rows[-1][-1] <= DEAREST else 9.0
 
 
 def word_features(word: str, other: str, weight: float) -> tuple:
@@ -451,10 +466,13 @@ def _width(line: str) -> int:
     return len(line) if line.isascii() else len(line) + len(_WIDE.findall(line))
 
 
+_STOPPED = re.compile(r"[.!?。！？؟][\"”»’')\]」』]*\s*$")
+
+
 def stretches(lines: list[str]) -> list[tuple[int, int]]:
     """Runs of lines that may be set as on a page: the text between paragraphs of one line each."""
     sizes = [_width(x.rstrip()) for x in lines]
-    inside = sorted(n for n, x in zip(sizes, lines, strict=True) if n and not re.search(r"[.!?。！？؟][\"”»’')\]」』]*\s*$", x))
+    inside = sorted(n for n, x in zip(sizes, lines, strict=True) if n and not _STOPPED.search(x))
     # Lines of one width are set, however wide.
     even = len(inside) > 3 and inside[int(len(inside) * 0.9)] <= 1.25 * inside[len(inside) // 2]
     limit = max(PARAGRAPH, 1.6 * inside[len(inside) // 2] if even else 0)
@@ -675,7 +693,7 @@ def read_scans(docs: DataFrame, text: str = "fulltext") -> DataFrame:
                 x = [word_features(w, o, float(np.log1p(n))) for w, o, n in zip(pdf["word"], pdf["other"], pdf["df"], strict=True)]
                 yield pdf[["word", "other", "df"]].assign(score=models.value.word.predict(np.array(x, dtype=float)), cost=[f[0] for f in x])
 
-    scored = candidates(open_words, vocabulary).mapInPandas(rank, "word string, other string, df bigint, score double, cost double").where("score >= 0.5 and cost <= 1.1")
+    scored = candidates(open_words, vocabulary).mapInPandas(rank, "word string, other string, df bigint, score double, cost double").where(f"score >= 0.5 and cost <= {DEAREST}")
     best = scored.groupBy("word").agg(F.max_by("other", F.struct(-F.round("cost", 2), F.round("score", 3), "df", "other")).alias("right"))
     read_words = cases.where("kind <> 'furniture'").join(best, "word", "left")
     reading = F.coalesce(F.nullif("reading", F.lit("")), F.col("right"))
