@@ -79,11 +79,12 @@ def _value(number: str) -> int | None:
     return int(digits) if digits.isdigit() else None
 
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER, _CONFUSED = re.compile(r"[\W\d_]+"), re.compile("[015698]")
 
 
 def _core(text: str) -> str:
-    return _OTHER.sub("", text.lower().translate(_DIGITS))
+    low = text.lower()
+    return _OTHER.sub("", low.translate(_DIGITS) if _CONFUSED.search(low) else low)
 
 
 def _pairs(s: str) -> set[str]:
@@ -189,6 +190,7 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
     twins = [0] * len(at)
     for j in short:
         twins[j] = like[cores[j]]
+    title_pairs = _pairs(title_core)
     paged = [n if n is not None else s for n, s in zip(numbers, sides, strict=True)]
     known = {n for n in paged if n is not None}
     rows = []
@@ -200,7 +202,7 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
         initials = [w[0] for w in text.split()]
         n = paged[j]
         core = cores[j]
-        as_title = bool(core) and len(core) >= 8 and (title_core.startswith(core[: max(8, len(core) - 2)]) or _alike(core, title_core[: len(core)], pairs))
+        as_title = bool(core) and len(core) >= 8 and (title_core.startswith(core[: max(8, len(core) - 2)]) or (len((pairs.get(core) or pairs.setdefault(core, _pairs(core))) & title_pairs) >= 0.7 * len(pairs[core]) and _alike(core, title_core[: len(core)], pairs)))
         as_author = any(a in core for a in author_cores)
         near_number = min((abs(k - j) for k in range(max(0, j - 2), min(len(at), j + 3)) if k != j and paged[k] is not None), default=9)
         rows.append(
@@ -537,6 +539,8 @@ def _draft(lines, furniture, paged, trusted):
                 tokens = tokens[:-1]
                 carried = True
         for t in tokens:
+            if t in trusted:
+                continue
             w = t.strip(_SIGNS)
             if w and w not in trusted and len(w) > 1 and not w.isdigit() and any(c.isalpha() for c in w):
                 rare.append((i + 1, w))
