@@ -67,6 +67,11 @@ def words(text: str) -> list[str]:
     return [w for w in (t.strip(_SIGNS) for t in parts) if w]
 
 
+def distinct_words(text: str) -> set[str]:
+    """The set of ``words``; each distinct token is stripped once."""
+    return {t.strip(_SIGNS) for t in set(text.lower().replace("—", " ").replace("–", " ").split())} - {""}
+
+
 def _value(number: str) -> int | None:
     low = number.lower()
     if re.fullmatch(r"[ivxlc]+", low) and not re.fullmatch(r"[l]+", low):
@@ -204,7 +209,7 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
         core = cores[j]
         as_title = bool(core) and len(core) >= 8 and (title_core.startswith(core[: max(8, len(core) - 2)]) or (len((pairs.get(core) or pairs.setdefault(core, _pairs(core))) & title_pairs) >= 0.7 * len(pairs[core]) and _alike(core, title_core[: len(core)], pairs)))
         as_author = any(a in core for a in author_cores)
-        near_number = min((abs(k - j) for k in range(max(0, j - 2), min(len(at), j + 3)) if k != j and paged[k] is not None), default=9)
+        near_number = next((d for d in (1, 2) if (j >= d and paged[j - d] is not None) or (j + d < len(at) and paged[j + d] is not None)), 9)
         rows.append(
             (
                 numbers[j] is not None,
@@ -471,10 +476,16 @@ def _width(line: str) -> int:
 _STOPPED = re.compile(r"[.!?。！？؟][\"”»’')\]」』]*\s*$")
 
 
+def _is_stopped(line: str) -> bool:
+    """Whether a line that is not blank ends a sentence, be it inside quotes or brackets."""
+    last = line.rstrip()[-1]
+    return last in ".!?。！？؟" or (last in "\"”»’')]」』" and _STOPPED.search(line) is not None)
+
+
 def stretches(lines: list[str]) -> list[tuple[int, int]]:
     """Runs of lines that may be set as on a page: the text between paragraphs of one line each."""
     sizes = [_width(x.rstrip()) for x in lines]
-    inside = sorted(n for n, x in zip(sizes, lines, strict=True) if n and not _STOPPED.search(x))
+    inside = sorted(n for n, x in zip(sizes, lines, strict=True) if n and not _is_stopped(x))
     # Lines of one width are set, however wide.
     even = len(inside) > 3 and inside[int(len(inside) * 0.9)] <= 1.25 * inside[len(inside) // 2]
     limit = max(PARAGRAPH, 1.6 * inside[len(inside) // 2] if even else 0)
@@ -666,7 +677,7 @@ def read_scans(docs: DataFrame, text: str = "fulltext") -> DataFrame:
             seen: Counter = Counter()
             texts = [t for t in pdf["abstract"] if t] + [" ".join(p) for p in (_paragraphs(t) for t in pdf["text"] if t) if p]
             for t in texts:
-                seen.update(set(words(t)))
+                seen.update(distinct_words(t))
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values()), "texts": 0})
             yield pd.DataFrame({"word": [""], "n": [0], "texts": [len(texts)]})
 
