@@ -5,7 +5,7 @@ Traversals advance a frontier by equi-joins, one stored table a round, and end w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.lexicons import EDGE_CONSTRAINTS
@@ -90,10 +90,19 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_d
     Parallel edges count once; a node is no path to itself."""
     steps = materialize(_steps(edges, "out", types), "steps")
     goal = targets.select(F.col("uid").alias("dst")).distinct()
+    # Only steps to nodes from which a target can still be reached are taken.
+    near = materialize(goal.select(F.col("dst").alias("to"), F.lit(0).alias("left")), "near")
+    reached = [near]
+    for left in range(1, max_depth):
+        near = materialize(steps.join(near.select("to"), "to", "left_semi").select(F.col("at").alias("to")).distinct().join(_union(reached).select("to"), "to", "left_anti").withColumn("left", F.lit(left)), "near")
+        if near.isEmpty():
+            break
+        reached.append(near)
+    steps = materialize(steps.join(_union(reached), "to"), "steps")
     paths = sources.select(F.col("uid").alias("src")).distinct().select("src", F.col("src").alias("at"), F.array("src").alias("path"))
     found = []
     for hops in range(1, max_depth + 1):
-        paths = materialize(paths.join(steps, "at").where(~F.array_contains("path", F.col("to"))).select("src", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path")), "paths")
+        paths = materialize(paths.join(steps, "at").where(~F.array_contains("path", F.col("to")) & (F.col("left") <= max_depth - hops)).select("src", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path")), "paths")
         if paths.isEmpty():
             break
         found.append(paths.join(goal, F.col("at") == F.col("dst")).select("src", "dst", "path", F.lit(hops).alias("hops")))
@@ -171,12 +180,15 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     if not n:
         return nodes.select("uid", F.lit(0.0).alias("rank"))
     ranks = nodes.select("uid", "out", F.lit(1.0 / n).alias("rank"))
+    loose = nodes.where("out is null").count() / n
     for i in range(rounds):
-        loose = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         sent = links.join(ranks.select(F.col("uid").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("uid")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         ranks = nodes.join(sent, "uid", "left").select("uid", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank"))
         if i < rounds - 1:
-            ranks = materialize(ranks, "ranks")
+            # What is spread in the next round is summed while this one is written.
+            seen = Observation()
+            ranks = materialize(ranks.observe(seen, F.sum(F.when(F.col("out").isNull(), F.col("rank"))).alias("loose")), "ranks")
+            loose = seen.get["loose"] or 0.0
     return ranks.select("uid", "rank")
 
 

@@ -21,7 +21,7 @@ CASES = [
     ("Ebb's birth, phil:C05941, nation/relativism", ["Ebb's birth", "phil:C05941", "nation/relativism"]),
     ('a;; "finite love; perception"; "Q9"', ["a", "finite love; perception", "Q9"]),
     ('“theoretical form”;"the ""systematic"" silence";b', ["theoretical form", 'the "systematic" silence', "b"]),
-    ("category\; teacher; ritual\\, structural", ["category; teacher", "ritual, structural"]),
+    ("category\\; teacher; ritual\\, structural", ["category; teacher", "ritual, structural"]),
     ('a / “b” / "c, d" / "death/freedom"', ["a", "b", "c, d", "death/freedom"]),
     ('["Q9", "the \\"sacred\\" temperance"]', ["Q9", 'the "sacred" temperance']),
     ("“the \"ascetic\" law”|世界\\、历史", ['the "ascetic" law', "世界、历史"]),
