@@ -211,6 +211,20 @@ def test_history_compares_all_under_a_key(spark):
     assert works_of(spark, rows, [(0, 1)]) == truth
 
 
+def test_leaders_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(history, "LEADERS", 1)
+    title = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuv"
+    # Slips of 0, 6 and 12 letters: the second is one work with the first and the third, which are not.
+    titles = [title, "......" + title[6:], "......" + title[6:20] + "" + title[26:], "quite another title of the same author and of the same year"]
+    titles = [t.replace(".", "0").replace("'", "1") for t in titles]
+    signed = history.sign(spark.createDataFrame([(i, None, t, ["Ann Ox"], 1990, None) for i, t in enumerate(titles)], "rec_no int, id string, title string, authors array<string>, year int, abstract string")).cache()
+    pairs = spark.createDataFrame([(a, b) for b in range(4) for a in range(b)], "a bigint, b bigint")
+    assert {tuple(r) for r in history.verify(pairs, signed).collect()} == {(0, 1), (1, 2)}
+    rows = lambda fresh: spark.createDataFrame([(7, i, i in fresh) for i in range(4)], "key bigint, rec_no bigint, fresh boolean")
+    assert {tuple(r) for r in history._led(rows({0, 1, 2, 3}), signed).collect()} == {(0, 1), (1, 2)}
+    assert {tuple(r) for r in history._led(rows({2}), signed).collect()} == {(1, 2)}
+
+
 def test_keys():
     assert history.id_key("https://works.example/W0003432405/") == history.id_key(" W0003432405") == "w0003432405"
     assert {history.id_key(x) for x in (None, "", "N/A", "id:0", "W0000000000", "unknown")} == {None}
