@@ -204,55 +204,106 @@ def _adjacency(pairs) -> tuple[list, list[set[int]]]:
 
 
 def betweenness(pairs: list[tuple]) -> dict:
-    """Normalised betweenness of the nodes of a small undirected graph."""
+    """Normalised betweenness of the nodes of a small undirected graph.
+
+    Nodes with one neighbour are taken off again and again, and each stands in its neighbour as a
+    weight: what lies on the only path between two branches is counted from their sizes.  Paths are
+    followed only among the nodes that are left."""
     names, near = _adjacency(pairs)
     n = len(names)
-    score = [0.0] * n
-    for s in range(n):
-        order, before, paths, dist = [], [[] for _ in range(n)], [0.0] * n, [-1] * n
-        paths[s], dist[s], queue = 1.0, 0, [s]
+    score, weight = [0.0] * n, [1] * n
+    #: Squares of the sizes of the branches taken off at each node.
+    squares = [0] * n
+    degree = [len(x) for x in near]
+    order, up, off = [i for i in range(n) if degree[i] == 1], [-1] * n, [False] * n
+    for v in order:
+        if not degree[v]:
+            continue
+        off[v], u = True, next(w for w in near[v] if not off[w])
+        up[v] = u
+        weight[u] += weight[v]
+        squares[u] += weight[v] ** 2
+        degree[u] -= 1
+        if degree[u] == 1:
+            order.append(u)
+    core = [[w for w in sorted(near[v]) if not off[w]] if not off[v] else [] for v in range(n)]
+    size = [0] * n
+    for r in range(n):
+        if off[r] or size[r]:
+            continue
+        found, size[r] = [r], 1
+        for v in found:
+            for w in core[v]:
+                if not size[w]:
+                    size[w] = 1
+                    found.append(w)
+        total = sum(weight[v] for v in found)
+        for v in found:
+            size[v] = total
+    for v in reversed(order):
+        size[v] = size[up[v]] if off[v] else size[v]
+    for v in range(n):
+        # Ordered pairs of which one end at least lies in a branch taken off here, or beyond it.
+        below, rest = weight[v] - 1, size[v] - weight[v]
+        score[v] = float(below**2 - squares[v] + 2 * below * rest)
+    dist, paths, flow = [-1] * n, [0.0] * n, [0.0] * n
+    for s in (v for v in range(n) if core[v]):
+        queue, before = [s], {s: []}
+        paths[s], dist[s] = 1.0, 0
         for v in queue:
-            order.append(v)
-            for w in sorted(near[v]):
+            for w in core[v]:
                 if dist[w] < 0:
-                    dist[w] = dist[v] + 1
+                    dist[w], before[w] = dist[v] + 1, []
                     queue.append(w)
                 if dist[w] == dist[v] + 1:
                     paths[w] += paths[v]
                     before[w].append(v)
-        flow = [0.0] * n
-        for w in reversed(order):
+        for w in reversed(queue):
             for v in before[w]:
-                flow[v] += paths[v] / paths[w] * (1 + flow[w])
+                flow[v] += paths[v] / paths[w] * (weight[w] + flow[w])
             if w != s:
-                score[w] += flow[w]
+                score[w] += weight[s] * flow[w]
+        for v in queue:
+            dist[v], paths[v], flow[v] = -1, 0.0, 0.0
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return {x: score[i] * scale for i, x in enumerate(names)}
 
 
 def modularity_communities(pairs: list[tuple]) -> list[set]:
     """Communities of a small undirected graph: the two whose union gains most modularity are joined
-    while there is a gain."""
+    while there is a gain, of equal ones the first."""
+    import numpy as np
+
     names, near = _adjacency(pairs)
     m = sum(map(len, near)) / 2
     groups = {i: {i} for i in range(len(names))}
     if not m:
         return [{x} for x in names]
-    share = {i: len(near[i]) / (2 * m) for i in groups}
-    links = {(i, j): 1 / m for i in groups for j in near[i] if i < j}
-    while links:
-        gains = {p: w - 2 * share[p[0]] * share[p[1]] for p, w in links.items()}
-        (a, b), gain = min(gains.items(), key=lambda g: (-g[1], g[0]))
-        if gain <= 1e-12:
+    share = np.array([len(x) / (2 * m) for x in near])
+    low, high = (np.array(x, dtype=np.int64) for x in zip(*((i, j) for i in groups for j in sorted(near[i]) if i < j), strict=True))
+    weight = np.full(len(low), 1 / m)
+    slot = np.full(len(names), -1)
+    while len(low):
+        gains = weight - 2 * share[low] * share[high]
+        best = np.flatnonzero(gains == gains.max())
+        first = best[np.lexsort((high[best], low[best]))[0]]
+        if gains[first] <= 1e-12:
             break
+        a, b = int(low[first]), int(high[first])
         groups[a] |= groups.pop(b)
-        share[a] += share.pop(b)
-        joined: dict[tuple[int, int], float] = {}
-        for (i, j), w in links.items():
-            i, j = a if i == b else i, a if j == b else j
-            if i != j:
-                joined[min(i, j), max(i, j)] = joined.get((min(i, j), max(i, j)), 0.0) + w
-        links = joined
+        share[a] += share[b]
+        # Links of b become links of a; where a has one to the same community the two are added up.
+        of_b = np.flatnonzero((low == b) | (high == b))
+        of_a = np.flatnonzero((low == a) | (high == a))
+        slot[low[of_a] + high[of_a] - a] = of_a
+        other = low[of_b] + high[of_b] - b
+        there = slot[other]
+        slot[low[of_a] + high[of_a] - a] = -1
+        double = (there >= 0) & (other != a)
+        weight[there[double]] += weight[of_b[double]]
+        low[of_b], high[of_b] = np.minimum(other, a), np.maximum(other, a)
+        gone = of_b[double | (other == a)]
+        low, high, weight = (np.delete(x, gone) for x in (low, high, weight))
     return sorted(({names[i] for i in g} for g in groups.values()), key=lambda g: (-len(g), sorted(map(str, g))))
 
 

@@ -1,6 +1,8 @@
 """Operators on small worked fixtures."""
 
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +120,42 @@ def test_centrality_and_communities():
     assert sorted(map(sorted, graph.modularity_communities(two))) == [[0, 1, 2], [3, 4, 5]]
 
 
+def test_measures_of_large_balls_take_little_time():
+    began = time.time()
+    hubs = [("r", f"n{i}") for i in range(5)] + [(f"n{i}", f"s{i * 2400 + j}") for i in range(5) for j in range(2400)]
+    central = graph.betweenness(hubs)
+    n = 12_006
+    assert central["s7"] == 0 and central["r"] == pytest.approx(((n - 1) ** 2 - 5 * 2401**2) / (n - 1) / (n - 2))
+    assert central["n3"] == pytest.approx(((n - 1) ** 2 - 2400 - (n - 2401) ** 2) / (n - 1) / (n - 2))
+    assert sorted(map(len, graph.modularity_communities(hubs))) == [2401, 2401, 2401, 2401, 2402]
+    assert time.time() - began < 60
+
+
+def test_betweenness_counts_paths():
+    rng = random.Random(8)
+    for _ in range(40):
+        n = rng.randint(3, 12)
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(n // 2, 2 * n))] + [(n + i, rng.randrange(n)) for i in range(3)]
+        nodes = sorted({x for p in pairs for x in p})
+        near = {v: {b for a, b in pairs + [(b, a) for a, b in pairs] if a == v != b} for v in nodes}
+
+        def shortest(s, t, near=near):
+            paths = [[s]]
+            while paths and not any(p[-1] == t for p in paths):
+                paths = [[*p, w] for p in paths for w in near[p[-1]] if w not in p]
+            return [p for p in paths if p[-1] == t]
+
+        want = dict.fromkeys(nodes, 0.0)
+        for s in nodes:
+            for t in nodes:
+                found = shortest(s, t) if s != t else []
+                for v in nodes:
+                    if found and v not in (s, t):
+                        want[v] += sum(v in p for p in found) / len(found)
+        scale = (len(nodes) - 1) * (len(nodes) - 2)
+        assert graph.betweenness(pairs) == pytest.approx({v: x / scale for v, x in want.items()})
+
+
 def test_entities(spark):
     nodes = spark.createDataFrame([("a", {"wd": "1"}), ("b", {"wd": "1", "x": "2"}), ("c", {"x": "2"}), ("d", {"wd": "9"}), ("e", None)], "uid string, external_ids map<string,string>")
     assert {r.uid: (r.class_id, r.n_links) for r in entities.external_id_classes(nodes).collect()} == {"a": ("a", 1), "b": ("a", 2), "c": ("a", 1)}
