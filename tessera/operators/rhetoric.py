@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicons as L
@@ -133,50 +133,65 @@ def top_theses(theses: DataFrame, key: str, k: int = 20, prefix: int = 50) -> Da
 Labels = dict[str, str] | DataFrame
 #: Labels of one automaton; more of them are searched in several passes.
 LABELS = 200_000
+#: Mentions that a task holds before it hands them on.
+MENTIONS = 20_000
 
 
-def _label_parts(labels: Labels) -> list[list[tuple[str, str]]]:
-    """(concept_id, lower-case label) in parts of about ``LABELS``; ``labels`` is a map of ids to labels
-    or a table (concept_id, label).  Null and empty labels do not occur."""
+def _label_parts(spark: SparkSession, labels: Labels) -> list[tuple[list[str], DataFrame]]:
+    """Distinct lower-case labels and the rows (concept_id, __label) that have them, in parts of about
+    ``LABELS`` rows; ``labels`` is a map of ids to labels or a table (concept_id, label).  Null and empty
+    labels do not occur."""
     if isinstance(labels, dict):
-        return [[(c, x.lower()) for c, x in labels.items() if x]]
+        labels = spark.createDataFrame(list(labels.items()), "concept_id string, label string")
     rows = labels.select(F.col("concept_id").cast("string").alias("concept_id"), F.lower("label").alias("label")).where("concept_id is not null and label <> ''").distinct()
     parts = max(1, -(-rows.count() // LABELS))
-    return [[tuple(r) for r in rows.where(F.pmod(F.xxhash64("label"), F.lit(parts)) == i).collect()] for i in range(parts)]
+    split = []
+    for i in range(parts):
+        part = rows.where(F.pmod(F.xxhash64("label"), F.lit(parts)) == i)
+        counts = part.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+        # Only a label of very many concepts makes a part larger than can be broadcast.
+        named = part.select("concept_id", F.col("label").alias("__label"))
+        split.append(([r["label"] for r in counts], F.broadcast(named) if sum(r["n"] for r in counts) <= 2 * LABELS else named))
+    return split
+
+
+def _places(batches: Iterator[pd.DataFrame], key: str, words: list[str], whole: bool) -> Iterator[pd.DataFrame]:
+    """(key, __label, start, end) of the ``words`` in texts t, at most ``MENTIONS`` at a time."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for label in words:
+        automaton.add_word(label, label)
+    if words:
+        automaton.make_automaton()
+    columns, out = [key, "__label", "start", "end"], []
+    for pdf in batches:
+        for k, t in zip(pdf[key].tolist(), pdf["t"], strict=True) if words else ():
+            after: dict[str, int] = {}
+            for last, label in automaton.iter(t):
+                start, end = last + 1 - len(label), last + 1
+                if start >= after.get(label, 0) and (whole or label not in after) and (not whole or stands_alone(t, start, end)):
+                    after[label] = end
+                    out.append((k, label, start, end))
+                    if len(out) >= MENTIONS:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+    yield pd.DataFrame(out, columns=columns)
 
 
 def _mentions(docs: DataFrame, text: str, key: str, labels: Labels, whole: bool) -> DataFrame:
     """(key, concept_id, start, end): occurrences of labels regardless of case, those of one label
-    without overlap; only whole words, or only the first as a substring."""
+    without overlap; only whole words, or only the first as a substring.
+
+    Tasks hand on which label occurs where, a bounded number at a time; the concepts of a label, of
+    which there may be many, are joined afterwards."""
     rows = docs.select(F.col(f"`{key}`").alias(key), F.lower(F.col(f"`{text}`")).alias("t")).where("t <> ''")
     kind = rows.schema[key].dataType.simpleString()
     found = []
-    for part in _label_parts(labels):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            ids: dict[str, list[str]] = {}
-            for concept, label in shared.value:
-                ids.setdefault(label, []).append(concept)
-            automaton = ahocorasick.Automaton()
-            for label in ids:
-                automaton.add_word(label, label)
-            if ids:
-                automaton.make_automaton()
-            for pdf in batches:
-                out = []
-                for k, t in zip(pdf[key].tolist(), pdf["t"], strict=True) if ids else ():
-                    after: dict[str, int] = {}
-                    for last, label in automaton.iter(t):
-                        start, end = last + 1 - len(label), last + 1
-                        if start >= after.get(label, 0) and (whole or label not in after) and (not whole or stands_alone(t, start, end)):
-                            after[label] = end
-                            out += [(k, c, start, end) for c in ids[label]]
-                yield pd.DataFrame(out, columns=[key, "concept_id", "start", "end"])
-
-        found.append(rows.mapInPandas(search, f"`{key}` {kind}, concept_id string, start int, end int"))
+    for words, concepts in _label_parts(docs.sparkSession, labels):
+        shared = docs.sparkSession.sparkContext.broadcast(words)
+        places = rows.mapInPandas(lambda batches, shared=shared: _places(batches, key, shared.value, whole), f"`{key}` {kind}, __label string, start int, end int")
+        found.append(places.join(concepts, "__label").select(f"`{key}`", "concept_id", "start", "end"))
     return reduce(DataFrame.unionByName, found)
 
 

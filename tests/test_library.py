@@ -2,6 +2,7 @@
 
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,17 @@ def test_mentions_as_by_brute_force(spark):
     assert rhetoric.keyword_spans(df, "t", "id", table.limit(0)).count() == 0 and rhetoric.keyword_spans(df.limit(0), "t", "id", labels).count() == 0
 
 
+def test_mentions_are_handed_on_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(rhetoric, "MENTIONS", 50)
+    texts = pd.DataFrame({"id": [1, 2, 3], "t": ["mind and body " * 200, "", "no mind " * 7]})
+    parts = list(rhetoric._places(iter([texts, texts[2:]]), "id", ["mind", "body"], True))
+    assert max(map(len, parts)) <= 50 and sum(map(len, parts)) == 414
+    # Many concepts of one label do not go through Python.
+    labels = spark.range(3000).selectExpr("cast(id as string) as concept_id", "if(id % 2 = 0, 'Mind', 'body') as label")
+    spans = rhetoric.keyword_spans(spark.createDataFrame(texts), "t", "id", labels)
+    assert spans.count() == 1500 * 407 and spans.distinct().count() == 1500 * 407
+
+
 def test_filters_and_keys(spark):
     df = spark.createDataFrame([("1", "de", "s"), ("2", "en", None), ("3", None, "s")], "id string, lang string, school string")
     assert [r.id for r in lookup.filter_by(df, lang="de", school="").collect()] == ["1"]
