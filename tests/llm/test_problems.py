@@ -225,6 +225,24 @@ def test_leaders_lose_no_link(spark, monkeypatch):
     assert {tuple(r) for r in history._led(rows({2}), signed).collect()} == {(1, 2)}
 
 
+def test_candidates_lose_no_link(spark):
+    rng = random.Random(6)
+    titles = ["Introduction", "Introductions", "On the reason of every reader and history", "On the raeson of every reader and history", "A method of argument without a world"]
+    texts = [" ".join(f"{w}{rng.randint(0, 99)}x{i}" for i in range(40) for w in ("ant", "bee")) for _ in range(3)]
+    texts += [t[: len(t) // 2] + texts[0][: len(t) // 2] for t in texts]
+    rows = [(i, rng.choice([None, "W1111", "W2222"]), rng.choice(titles), rng.choice([None, ["Ann Ox"], ["Bo Elk"], ["Ann Ox", "Bo Elk"]]), rng.choice([None, 1950, 1951, 1990]), rng.choice([None, *texts])) for i in range(60)]
+    rows += [(60, None, "Introduction", ["Cy Yak"], 1990, texts[0]), (61, None, "Introduction", ["Di Emu"], 1990, texts[0])]
+    rows += [(62, None, "A title that is none of the others", ["Cy Yak"], 1800, texts[0])]
+    signed = history.sign(spark.createDataFrame(rows, "rec_no int, id string, title string, authors array<string>, year int, abstract string")).cache()
+    pairs = spark.createDataFrame([(a, b) for b in range(63) for a in range(b)], "a bigint, b bigint")
+    linked = {tuple(r) for r in history.verify(pairs, signed).collect()}
+    groups = spark.createDataFrame([(1, i, True) for i in range(63)], "key bigint, rec_no bigint, fresh boolean")
+    met = {tuple(r) for r in history._within(groups, signed).collect()}
+    assert linked and linked <= met
+    # Strangers under a common heading, and other works of one author, are not compared by their texts.
+    assert (60, 61) not in met and (60, 62) not in met
+
+
 def test_keys():
     assert history.id_key("https://works.example/W0003432405/") == history.id_key(" W0003432405") == "w0003432405"
     assert {history.id_key(x) for x in (None, "", "N/A", "id:0", "W0000000000", "unknown")} == {None}
