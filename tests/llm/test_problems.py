@@ -243,6 +243,64 @@ def test_candidates_lose_no_link(spark):
     assert (60, 61) not in met and (60, 62) not in met
 
 
+def test_history_is_not_shuffled(spark):
+    """A batch of one record moves little, however much is held: fingerprints held stay where they lie."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 9)))
+    rows = [(w, 0, f"https://x.example/W{1000 + w}", " ".join(word() for _ in range(7)), [f"Ann {word()}"], 1990, " ".join(word() for _ in range(400)), "") for w in range(300)]
+    rows.append((1000, 1, None, *rows[7][3:]))
+    written = lambda: sum(x.totalShuffleWrite() for x in (lambda xs: [xs.apply(i) for i in range(xs.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    df = spark.createDataFrame(rows, RAW)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = history.History(spark)
+        sizes = [written()]
+        for batch in (0, 1):
+            store.ingest(df.where(F.col("batch_no") == batch))
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            sizes.append(written())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert (sizes[2] - sizes[1]) * 5 < sizes[1] - sizes[0]
+    assert {(r.kept_rec_no, r.rec_no) for r in store.works().collect()} == {(7, 1000)}
+
+
+def test_history_of_frequent_fingerprints_agrees(spark, monkeypatch):
+    monkeypatch.setattr(history, "SPLIT", 3)
+    test_history_batches_agree(spark)
+
+
+def test_marks_lose_no_link():
+    rng = random.Random(5)
+    titles = []
+    for size in (1, 5, 20, 40, 63, 64, 65, 79, 80, 81, 100, 106, 107, 150) * 4:
+        title = "".join(rng.choice("abcdefgh概é") for _ in range(size))
+        titles.append(title)
+        for _ in range(2):
+            slipped = list(title)
+            for _ in range(int(size * history.SLIPS)):
+                i = rng.randrange(len(slipped))
+                slipped[i : i + 1] = rng.choice(([], [slipped[i], "a"], ["b"])) or slipped[i : i + 1][: len(slipped) == 1]
+            titles.append("".join(slipped))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    marks, known = history._marks(history.pa.array([history.mark_of(t, [], None, 1990) for t in titles]))
+    x, y = history.np.triu_indices(len(titles), 1)
+    told = history._may_meet(marks, known)(x, y)
+    like = history.np.array([abs(len(titles[a]) - len(titles[b])) <= 24 and distance(titles[a], titles[b]) <= int(max(len(titles[a]), len(titles[b])) * history.SLIPS) for a, b in zip(x, y, strict=True)])
+    assert like.sum() > 100 and told[like].all()
+    short = history.np.array([max(len(titles[a]), len(titles[b])) <= history.WORD for a, b in zip(x, y, strict=True)])
+    assert not (told & ~like & short).any()
+
+
 def test_keys():
     assert history.id_key("https://works.example/W0003432405/") == history.id_key(" W0003432405") == "w0003432405"
     assert {history.id_key(x) for x in (None, "", "N/A", "id:0", "W0000000000", "unknown")} == {None}
