@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -87,13 +88,19 @@ def _value(number: str) -> int | None:
 _OTHER, _CONFUSED = re.compile(r"[\W\d_]+"), re.compile("[015698]")
 
 
+#: What ``_core`` makes of every ASCII sign.
+_ASCII_CORE = {i: _OTHER.sub("", chr(i).translate(_DIGITS)) or None for i in range(128)}
+
+
 def _core(text: str) -> str:
     low = text.lower()
+    if low.isascii():
+        return low.translate(_ASCII_CORE)
     return _OTHER.sub("", low.translate(_DIGITS) if _CONFUSED.search(low) else low)
 
 
 def _pairs(s: str) -> set[str]:
-    return {x + y for x, y in zip(s, s[1:], strict=False)}
+    return set(map(add, s, s[1:]))
 
 
 def _alike(a: str, b: str, known: dict[str, set[str]]) -> bool:
@@ -163,7 +170,9 @@ def _twins(cores: list[str]) -> dict[str, int]:
 
 
 LINE_FEATURES = 17
-_CLOSED, _ENDED = re.compile(r"[.!?:;,»”\"')。！？；，」』]$"), re.compile(r"[.!?:»”\"')。！？」』]$")
+_CLOSED, _ENDED = frozenset(".!?:;,»”\"')。！？；，」』"), frozenset(".!?:»”\"')。！？」』")
+#: What a line that ``_SIDE`` matches has at an end, and inside.
+_NUMERALS, _GAP = frozenset("0123456789lIOoSBivxcVXLC"), re.compile(r"[\s|]{2}")
 
 
 def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[list[int], np.ndarray]:
@@ -171,25 +180,28 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
     at = [i for i, line in enumerate(lines) if line.strip()]
     if not at:
         return [], np.empty((0, LINE_FEATURES))
+    texts = [lines[i].strip() for i in at]
+    filled = [False] * len(lines)
+    for i in at:
+        filled[i] = True
     widths = sorted(len(lines[i].rstrip()) for i in at)
     width = max(widths[int(len(widths) * 0.9)] if len(widths) > 1 else widths[0], 1)
     title_core = _core(title or "")
     author_cores = [c for c in (_core(a) for a in authors) if len(c) > 3]
     cores, numbers, sides = [], [], []
-    for i in at:
+    for i, rest in zip(at, texts, strict=True):
         line = lines[i]
         number = side = None
-        rest = line.strip()
         if len(line) <= 1.6 * width + 20:
             if m := _PAGE.match(line):
                 number, rest = _value(m.group(1)), ""
-            elif m := _SIDE.match(line):
+            elif (rest[0] in _NUMERALS or rest[-1] in _NUMERALS) and _GAP.search(rest) and (m := _SIDE.match(line)):
                 side = _value(m.group(1) or m.group(4))
                 rest = (m.group(2) or m.group(3)) if side is not None else rest
         cores.append(_core(rest))
         numbers.append(number)
         sides.append(side)
-    short = [j for j in range(len(at)) if 0 < len(cores[j]) and len(lines[at[j]].strip()) <= 1.25 * width]
+    short = [j for j in range(len(at)) if 0 < len(cores[j]) and len(texts[j]) <= 1.25 * width]
     pairs: dict[str, set[str]] = {}
     like = _twins([cores[j] for j in short])
     twins = [0] * len(at)
@@ -201,13 +213,13 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
     rows = []
     for j, i in enumerate(at):
         line = lines[i]
-        text = line.strip()
-        before = lines[at[j - 1]].strip() if j else ""
-        after = lines[at[j + 1]].strip() if j + 1 < len(at) else ""
+        text = texts[j]
+        before = texts[j - 1] if j else ""
+        after = texts[j + 1] if j + 1 < len(at) else ""
         initials = [w[0] for w in text.split()]
         n = paged[j]
         core = cores[j]
-        as_title = bool(core) and len(core) >= 8 and (title_core.startswith(core[: max(8, len(core) - 2)]) or (len((pairs.get(core) or pairs.setdefault(core, _pairs(core))) & title_pairs) >= 0.7 * len(pairs[core]) and _alike(core, title_core[: len(core)], pairs)))
+        as_title = bool(core) and len(core) >= 8 and (title_core.startswith(core[: max(8, len(core) - 2)]) or (len(core) - len(title_core) <= 2 + len(core) // 12 and len((pairs.get(core) or pairs.setdefault(core, _pairs(core))) & title_pairs) >= 0.7 * len(pairs[core]) and _alike(core, title_core[: len(core)], pairs)))
         as_author = any(a in core for a in author_cores)
         near_number = next((d for d in (1, 2) if (j >= d and paged[j - d] is not None) or (j + d < len(at) and paged[j + d] is not None)), 9)
         rows.append(
@@ -219,11 +231,11 @@ def line_features(lines: list[str], title: str, authors: list[str]) -> tuple[lis
                 len(text) / width,
                 as_title,
                 as_author,
-                bool(_CLOSED.search(text)),
-                bool(before) and not _ENDED.search(before),
+                text[-1] in _CLOSED,
+                bool(before) and before[-1] not in _ENDED,
                 bool(after) and after[0].islower(),
-                i == 0 or not lines[i - 1].strip(),
-                i + 1 >= len(lines) or not lines[i + 1].strip(),
+                i == 0 or not filled[i - 1],
+                i + 1 >= len(lines) or not filled[i + 1],
                 1.0 if text.isupper() else sum(map(str.isupper, initials)) / len(initials) / 2,
                 j == 0 or j + 1 == len(at),
                 text[0].islower() and numbers[j] is None,

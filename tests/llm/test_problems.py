@@ -144,6 +144,29 @@ def test_nearest_against_brute_force(spark):
     assert neighbours.nearest(neighbours.vectors(df.limit(0), "cid", ["v"], 16), 16, 5).count() == 0
 
 
+def test_lines_are_looked_at_as_by_patterns(monkeypatch):
+    """What spares patterns gives what they give; the pattern of side numbers is tried on few lines."""
+    signs = [chr(i) for i in range(32, 128)] + list("é9概…»」\u00a0")
+    rng = random.Random(2)
+    for text in ("".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(2000)):
+        low = text.lower()
+        assert scans._core(text) == scans._OTHER.sub("", low.translate(scans._DIGITS) if scans._CONFUSED.search(low) else low)
+        assert scans._pairs(text) == {x + y for x, y in zip(text, text[1:], strict=False)}
+
+    class Counted:
+        tried = 0
+
+        def match(self, line, pattern=scans._SIDE):
+            self.tried += 1
+            return pattern.match(line)
+
+    monkeypatch.setattr(scans, "_SIDE", counted := Counted())
+    lines = ["the history of the argument and the", "12   Journal of Reason", "meaning of the tradition in the", "Journal of Reason | 13", "  xiv | On reason  ", "language of the author and"]
+    at, features = scans.line_features(lines * 3, "", [])
+    assert features[:, 1].tolist() == [0, 1, 0, 1, 1, 0] * 3
+    assert counted.tried == 9
+
+
 # ---- 5 history -----------------------------------------------------------------------------------
 
 RAW = "rec_no bigint, batch_no int, id string, title string, authors array<string>, year int, abstract string, rec string"
