@@ -324,6 +324,46 @@ def test_marks_lose_no_link():
     assert not (told & ~like & short).any()
 
 
+def test_records_are_signed_as_one_by_one():
+    rng = random.Random(12)
+    word = lambda signs="aeioulnrst": "".join(rng.choice(signs) for _ in range(rng.randint(1, 9)))
+    titles = [None, "", "A", "On " + word() * 12, *(" ".join(word(rng.choice(("aeiou", "概念é", "xyz"))) for _ in range(rng.randint(1, 20))) for _ in range(40))]
+    rows = [{"rec_no": i, "id": rng.choice((None, f"W{1000 + i}")), "title": t, "authors": rng.choice((None, [], ["Ann Ox", None], ["Bo Elk"])), "year": rng.choice((None, 1990)), "abstract": rng.choice((None, "", "ab", " ".join(word() for _ in range(rng.randint(1, 80)))))} for i, t in enumerate(titles)]
+    schema = history.pa.schema([("rec_no", "int64"), ("id", "string"), ("title", "string"), ("authors", history.pa.list_(history.pa.string())), ("year", "int32"), ("abstract", "string")])
+    [signed] = history._sign(iter([history.pa.RecordBatch.from_pylist(rows, schema=schema)]))
+    for row, got in zip(rows, signed.to_pylist(), strict=True):
+        title = history.clean_title(row["title"])[0]
+        names = sorted({history.surname(x) for x in row["authors"] or [] if x})
+        assert (got["title_key"], got["names"], got["bits"]) == (title, names, history.bits_of(title))
+        assert got["mark"] == history.mark_of(title, history.people_of(names), history.id_key(row["id"]), row["year"])
+        # Fingerprints by brute force, with the hashes of windows themselves.
+        symbols, lengths = history._letters([row["abstract"] or ""])
+        k, w = history.COVER
+        least = [min(hashes[i : i + w]) for hashes in [[int(history.winnow(symbols[i : i + k], history.np.array([k]), k, 1, 2)[0].view("u8")[0]) for i in range(len(symbols) - k + 1)]] for i in range(max(1, len(hashes) - w + 1)) if hashes]
+        if lengths[0] >= k:
+            assert history.np.frombuffer(got["cover"], history.COVERING).tolist() == sorted({x & 0xFFFF for x in least})
+        assert bool(got["cover"]) == bool(lengths[0])
+
+
+def test_fingerprints_of_a_part_lie_in_one_row(spark):
+    rows = [(w, 0, None, f"title number {w} of the history of reason", ["Ann Ox"], 1990, f"text {w} " * 40, "") for w in range(30)]
+    store = history.History(spark)
+    store.ingest(spark.createDataFrame(rows, RAW))
+    held = store._table("fingerprints").where("part >= 0").collect()
+    assert len(held) == store.batches[0][1]
+    assert sum(len(r["keys"]) for r in held) == 8 * store.batches[0][2] == sum(len(r["recs"]) for r in held)
+
+
+def test_titles_that_meet_again_are_compared_once(monkeypatch):
+    compared, near = [], history._near
+    monkeypatch.setattr(history, "_near", lambda letters, length, x, y, most: compared.append(len(x)) or near(letters, length, x, y, most))
+    titles = ["the history of the reason of one reader", "the history of the raeson of one reader", "a method of argument without any world"]
+    marks, known = history._marks(history.pa.array([history.mark_of(t, [i], None, 1990) for i, t in enumerate(titles)]))
+    x, y = history.np.array([0, 0, 1] * 50), history.np.array([1, 2, 2] * 50)
+    assert history._may_meet(marks, known)(x, y).tolist() == [True, False, False] * 50
+    assert 1 <= sum(compared) <= 3
+
+
 def test_keys():
     assert history.id_key("https://works.example/W0003432405/") == history.id_key(" W0003432405") == "w0003432405"
     assert {history.id_key(x) for x in (None, "", "N/A", "id:0", "W0000000000", "unknown")} == {None}
