@@ -5,12 +5,21 @@ Traversals advance a frontier by equi-joins, one stored table a round, and end w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import heapq
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.lexicons import EDGE_CONSTRAINTS
 from tessera.storage import materialize
 
+#: Nodes and links of all sources that paths are followed from together.
+AT_ONCE = 1 << 21
+#: Sources times links followed in one task, and tasks of one ball at most.
+SHARE_WORK, SHARES = 200_000_000, 256
+
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by ``order``: keyed inserts where the later write wins."""
@@ -192,146 +201,258 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     return ranks.select("uid", "rank")
 
 
-def _adjacency(pairs) -> tuple[list, list[set[int]]]:
+def _numbered(pairs: list[tuple]) -> tuple[list, np.ndarray, np.ndarray]:
+    """(names in order, and of every link the lower and the higher number)."""
     names = sorted({x for p in pairs for x in p})
     index = {x: i for i, x in enumerate(names)}
-    near: list[set[int]] = [set() for _ in names]
-    for a, b in pairs:
-        if a != b:
-            near[index[a]].add(index[b])
-            near[index[b]].add(index[a])
-    return names, near
+    ends = np.array([(index[a], index[b]) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
+    return names, *_links(ends[:, 0], ends[:, 1])
 
 
-def betweenness(pairs: list[tuple]) -> dict:
-    """Normalised betweenness of the nodes of a small undirected graph.
+def _links(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, higher number) of every link between two nodes, once."""
+    low, high = np.minimum(src, dst), np.maximum(src, dst)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = low != high
+    new[1:] &= (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return low[new], high[new]
+
+
+def _branches(n: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(paths that branches send through each node, its weight, whether it stays).
 
     Nodes with one neighbour are taken off again and again, and each stands in its neighbour as a
-    weight: what lies on the only path between two branches is counted from their sizes.  Paths are
-    followed only among the nodes that are left."""
-    names, near = _adjacency(pairs)
-    n = len(names)
-    score, weight = [0.0] * n, [1] * n
+    weight: what lies on the only path between two branches is counted from their sizes."""
+    degree = np.bincount(np.concatenate((low, high)), minlength=n).tolist()
+    #: Numbers of all neighbours that are left, in one: of one neighbour its own.
+    last = [0] * n
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        last[a] ^= b
+        last[b] ^= a
     #: Squares of the sizes of the branches taken off at each node.
-    squares = [0] * n
-    degree = [len(x) for x in near]
+    weight, squares = [1] * n, [0] * n
     order, up, off = [i for i in range(n) if degree[i] == 1], [-1] * n, [False] * n
     for v in order:
         if not degree[v]:
             continue
-        off[v], u = True, next(w for w in near[v] if not off[w])
+        off[v], u = True, last[v]
         up[v] = u
+        last[u] ^= v
         weight[u] += weight[v]
         squares[u] += weight[v] ** 2
         degree[u] -= 1
         if degree[u] == 1:
             order.append(u)
-    core = [[w for w in sorted(near[v]) if not off[w]] if not off[v] else [] for v in range(n)]
+    stays = ~np.array(off, dtype=bool)
+    inner = stays[low] & stays[high]
+    first = list(range(n))
+
+    def find(v: int) -> int:
+        while first[v] != v:
+            first[v] = v = first[first[v]]
+        return v
+
+    for a, b in zip(low[inner].tolist(), high[inner].tolist(), strict=True):
+        a, b = find(a), find(b)
+        first[max(a, b)] = min(a, b)
     size = [0] * n
-    for r in range(n):
-        if off[r] or size[r]:
-            continue
-        found, size[r] = [r], 1
-        for v in found:
-            for w in core[v]:
-                if not size[w]:
-                    size[w] = 1
-                    found.append(w)
-        total = sum(weight[v] for v in found)
-        for v in found:
-            size[v] = total
+    for v in range(n):
+        if not off[v]:
+            size[find(v)] += weight[v]
+    for v in range(n):
+        size[v] = size[find(v)] if not off[v] else 0
     for v in reversed(order):
         size[v] = size[up[v]] if off[v] else size[v]
-    for v in range(n):
-        # Ordered pairs of which one end at least lies in a branch taken off here, or beyond it.
-        below, rest = weight[v] - 1, size[v] - weight[v]
-        score[v] = float(below**2 - squares[v] + 2 * below * rest)
-    dist, paths, flow = [-1] * n, [0.0] * n, [0.0] * n
-    for s in (v for v in range(n) if core[v]):
-        queue, before = [s], {s: []}
-        paths[s], dist[s] = 1.0, 0
-        for v in queue:
-            for w in core[v]:
-                if dist[w] < 0:
-                    dist[w], before[w] = dist[v] + 1, []
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        for w in reversed(queue):
-            for v in before[w]:
-                flow[v] += paths[v] / paths[w] * (weight[w] + flow[w])
-            if w != s:
-                score[w] += weight[s] * flow[w]
-        for v in queue:
-            dist[v], paths[v], flow[v] = -1, 0.0, 0.0
+    # Ordered pairs of which one end at least lies in a branch taken off here, or beyond it.
+    score = [float((weight[v] - 1) ** 2 - squares[v] + 2 * (weight[v] - 1) * (size[v] - weight[v])) for v in range(n)]
+    return np.array(score), np.array(weight, dtype=np.int64), stays
+
+
+def _passing(low: np.ndarray, high: np.ndarray, weight: np.ndarray, share: int = 0, shares: int = 1) -> np.ndarray:
+    """Shortest paths through every node, as they weigh, from the sources of one of ``shares``; every node
+    has a link.  Many sources are followed at once."""
+    n = len(weight)
+    score = np.zeros(n)
+    src, dst = np.concatenate((low, high)), np.concatenate((high, low))
+    order = np.lexsort((dst, src))
+    dst, starts = dst[order], np.searchsorted(src[order], np.arange(n + 1))
+    degree = np.diff(starts)
+    sources = np.arange(share, n, shares)
+    some = max(1, AT_ONCE // max(1, n + len(dst)))
+    place = np.zeros(some * n, dtype=np.int64)
+    for part in np.split(sources, np.arange(some, len(sources), some)):
+        dist = np.full(len(part) * n, -1, dtype=np.int32)
+        paths, flow = np.zeros(len(dist)), np.zeros(len(dist))
+        # Node v of the i-th source is i * n + v.
+        front = np.arange(len(part)) * n + part
+        dist[front], paths[front], steps, level = 0, 1.0, [], 0
+        while len(front):
+            level += 1
+            v = front % n
+            times = degree[v]
+            at = np.repeat(np.arange(len(front)), times)
+            to = (front - v)[at] + dst[np.arange(len(at)) + np.repeat(starts[v] - np.cumsum(times) + times, times)]
+            further = dist[to] < 0
+            to, at = to[further], at[further]
+            dist[to] = level
+            place[to] = np.arange(len(to))
+            reached = to[place[to] == np.arange(len(to))]
+            place[reached] = np.arange(len(reached))
+            paths[reached] = np.bincount(place[to], weights=paths[front[at]], minlength=len(reached))
+            steps.append((front, at, to))
+            front = reached
+        for front, at, to in reversed(steps):
+            sent = (weight[to % n] + flow[to]) / paths[to]
+            flow[front] = np.bincount(at, weights=sent, minlength=len(front)) * paths[front]
+        flow[np.arange(len(part)) * n + part] = 0.0
+        score += weight[part] @ flow.reshape(len(part), n)
+    return score
+
+
+def betweenness(pairs: list[tuple]) -> dict:
+    """Normalised betweenness of the nodes of an undirected graph.
+
+    Paths are followed only among the nodes that are left without branches (``_branches``)."""
+    names, low, high = _numbered(pairs)
+    n = len(names)
+    score, weight, stays = _branches(n, low, high)
+    inner = stays[low] & stays[high]
+    core, ends = np.unique(np.concatenate((low[inner], high[inner])), return_inverse=True)
+    score[core] += _passing(*np.split(ends, 2), weight[core])
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return {x: score[i] * scale for i, x in enumerate(names)}
+    return dict(zip(names, (score * scale).tolist(), strict=True))
+
+
+def _communities(n: int, low: np.ndarray, high: np.ndarray) -> list[int]:
+    """The least node of the community of every node: the two whose union gains most modularity are joined
+    while there is a gain, of equal ones the first.
+
+    A gain times 2 m^2, m the number of links, is the whole number 2 m l - d e, where l links join
+    communities of d and e link ends.  A community keeps its links by l, least e first; the community
+    of fewer links moves into the other.  While l stays a gain only falls, so what is kept is never less than it
+    is, and what comes out first is put back until it is as it was kept."""
+    twice = 2 * len(low)
+    ends = np.bincount(np.concatenate((low, high)), minlength=n).tolist()
+    label, up, near = list(range(n)), list(range(n)), [{} for _ in range(n)]
+    kept: list[dict[int, list]] = [{} for _ in range(n)]
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        near[a][b] = near[b][a] = 1
+        a, b = (a, b) if ends[a] >= ends[b] else (b, a)
+        kept[a].setdefault(1, []).append((ends[b], b, b))
+
+    def known(a: int, links: int) -> tuple | None:
+        """What joins the community ``a`` best by so many links."""
+        heap = kept[a][links]
+        while heap:
+            e, _, b = heap[0]
+            if near[a].get(b) != links:
+                heapq.heappop(heap)
+            elif ends[b] != e:
+                heapq.heapreplace(heap, (ends[b], label[b], b))
+            else:
+                return ends[a] * e - twice * links, min(label[a], label[b]), max(label[a], label[b]), a, links, b
+        return None
+
+    for heaps in kept:
+        for heap in heaps.values():
+            heapq.heapify(heap)
+    best = [known(a, 1) for a in range(n) if kept[a]]
+    heapq.heapify(best)
+    while best and best[0][0] < 0:
+        top = heapq.heappop(best)
+        owner, links = top[3:5]
+        now = known(owner, links) if up[owner] == owner else None
+        if now != top:
+            if now:
+                heapq.heappush(best, now)
+            continue
+        a, b = (owner, now[5]) if len(near[owner]) >= len(near[now[5]]) else (now[5], owner)
+        up[b], label[a] = a, min(label[a], label[b])
+        ends[a] += ends[b]
+        del near[a][b], near[b][a]
+        for c, more in near[b].items():
+            del near[c][b]
+            both = near[a][c] = near[c][a] = near[a].get(c, 0) + more
+            heap = kept[a].setdefault(both, [])
+            heapq.heappush(heap, (ends[c], label[c], c))
+            if heap[0][2] == c:
+                heapq.heappush(best, known(a, both))
+        near[b], kept[b] = {}, {}
+        if a == owner and (rest := known(a, links)):
+            heapq.heappush(best, rest)
+    found = []
+    for v in range(n):
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        found.append(label[v])
+    return found
 
 
 def modularity_communities(pairs: list[tuple]) -> list[set]:
-    """Communities of a small undirected graph: the two whose union gains most modularity are joined
-    while there is a gain, of equal ones the first."""
-    import numpy as np
-
-    names, near = _adjacency(pairs)
-    m = sum(map(len, near)) / 2
-    groups = {i: {i} for i in range(len(names))}
-    if not m:
-        return [{x} for x in names]
-    share = np.array([len(x) / (2 * m) for x in near])
-    low, high = (np.array(x, dtype=np.int64) for x in zip(*((i, j) for i in groups for j in sorted(near[i]) if i < j), strict=True))
-    weight = np.full(len(low), 1 / m)
-    slot = np.full(len(names), -1)
-    while len(low):
-        gains = weight - 2 * share[low] * share[high]
-        best = np.flatnonzero(gains == gains.max())
-        first = best[np.lexsort((high[best], low[best]))[0]]
-        if gains[first] <= 1e-12:
-            break
-        a, b = int(low[first]), int(high[first])
-        groups[a] |= groups.pop(b)
-        share[a] += share[b]
-        # Links of b become links of a; where a has one to the same community the two are added up.
-        of_b = np.flatnonzero((low == b) | (high == b))
-        of_a = np.flatnonzero((low == a) | (high == a))
-        slot[low[of_a] + high[of_a] - a] = of_a
-        other = low[of_b] + high[of_b] - b
-        there = slot[other]
-        slot[low[of_a] + high[of_a] - a] = -1
-        double = (there >= 0) & (other != a)
-        weight[there[double]] += weight[of_b[double]]
-        low[of_b], high[of_b] = np.minimum(other, a), np.maximum(other, a)
-        gone = of_b[double | (other == a)]
-        low, high, weight = (np.delete(x, gone) for x in (low, high, weight))
-    return sorted(({names[i] for i in g} for g in groups.values()), key=lambda g: (-len(g), sorted(map(str, g))))
-
-
-def concept_cluster(edges: DataFrame, root: DataFrame, depth: int = 2, types: list[str] | None = None, most_edges: int = 20_000) -> DataFrame:
+    """Communities (``_communities``) of an undirected graph, the largest first."""
+    names, low, high = _numbered(pairs)
+    groups: dict[int, set] = {}
+    for x, least in zip(names, _communities(len(names), low, high), strict=True):
+        groups.setdefault(least, set()).add(x)
+    return sorted(groups.values(), key=lambda g: (-len(g), min(map(str, g))))
+
+
+def concept_cluster(edges: DataFrame, root: DataFrame, depth: int = 2, types: list[str] | None = None, most_edges: int | None = None) -> DataFrame:
     """(root, uid, community, centrality): the ball around each root over conceptual edges, with
     modularity communities and betweenness inside it.
 
-    Both measures look at a whole ball at once.  A ball of at most two nodes is one community with
-    centrality 0; of a ball of more than ``most_edges`` edges, which no task could hold, both are null.
+    Balls of any size are measured: communities and branches of a ball in one task, on numbers, the paths among
+    the other nodes in tasks of some sources each.  A ball of at most two nodes is one community with
+    centrality 0.  Only where ``most_edges`` is given both are null in balls of more edges.
     """
     types = types or ["extends", "subsumes", "analogous_to", "opposes", "translates_to"]
     ball = materialize(bfs(edges, root, depth, "both", types).select("root", "uid"), "ball")
     inside = edges.join(ball.select("root", F.col("uid").alias("src")), "src").join(ball.select("root", F.col("uid").alias("dst")), ["root", "dst"]).select("root", "src", "dst").distinct()
-    sizes = ball.groupBy("root").agg(F.count(F.lit(1)).alias("nodes")).join(inside.groupBy("root").agg(F.count(F.lit(1)).alias("edges")), "root", "left")
-    small = sizes.where((F.col("nodes") > 2) & (F.coalesce("edges", F.lit(0)) <= most_edges)).select("root")
+    sizes = ball.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"))
+    if most_edges is not None:
+        inside = materialize(inside, "inside")
+        counted = sizes.join(inside.groupBy("root").agg(F.count(F.lit(1)).alias("edges")), "root", "left")
+        sizes = materialize(counted.withColumn("nodes", F.when(F.coalesce("edges", F.lit(0)) <= most_edges, F.col("nodes"))).drop("edges"), "sizes")
     kind = edges.schema["src"].dataType.simpleString()
-
-    def measure(pdf):
-        import pandas as pd
-
-        pairs = list(zip(pdf["src"], pdf["dst"], strict=True))
-        central = betweenness(pairs)
-        where = {x: i for i, g in enumerate(modularity_communities(pairs)) for x in g}
-        return pd.DataFrame({"root": pdf["root"].iat[0], "uid": list(central), "community": [where[x] for x in central], "centrality": [round(v, 6) for v in central.values()]})
-
-    measured = inside.join(small, "root", "left_semi").groupBy("root").applyInPandas(measure, f"root {kind}, uid {kind}, community int, centrality double")
-    known = F.coalesce("edges", F.lit(0)) <= most_edges
-    rows = ball.join(measured, ["root", "uid"], "left").join(sizes, "root")
+    order = Window.partitionBy("root").orderBy("uid")
+    numbers = materialize(ball.join(sizes.where("nodes > 2"), "root").select("root", "uid", "nodes", (F.row_number().over(order) - 1).alias("node")), "numbers")
+    number = lambda end: numbers.select("root", F.col("uid").alias(end), F.col("node").alias(f"{end}_node"))
+    links = inside.join(number("src"), ["root", "src"]).join(number("dst"), ["root", "dst"]).select("root", F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A row for every node, then one for every link among those without branches."""
+        low, high = _links(pdf["src"].to_numpy(np.int64), pdf["dst"].to_numpy(np.int64))
+        n = int(max(pdf["src"].max(), pdf["dst"].max())) + 1
+        score, weight, stays = _branches(n, low, high)
+        inner = stays[low] & stays[high]
+        a, b = low[inner], high[inner]
+        nodes = pd.DataFrame({"node": np.arange(n), "other": -1, "weight": weight, "other_weight": 0, "least": _communities(n, low, high), "score": score})
+        core = pd.DataFrame({"node": a, "other": b, "weight": weight[a], "other_weight": weight[b], "least": 0, "score": 0.0})
+        return pd.concat([nodes, core]).assign(root=pdf["root"].iat[0])
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf["node"].to_numpy(), pdf["other"].to_numpy()
+        nodes, at, ends = np.unique(np.concatenate((a, b)), return_index=True, return_inverse=True)
+        weight = np.concatenate((pdf["weight"], pdf["other_weight"]))[at]
+        share, shares = int(pdf["share"].iat[0]), int(pdf["shares"].iat[0])
+        return pd.DataFrame({"root": pdf["root"].iat[0], "node": nodes, "share": share, "passed": _passing(*np.split(ends, 2), weight, share, shares)})
+
+    measured = materialize(links.groupBy("root").applyInPandas(measure, f"root {kind}, node int, other int, weight bigint, other_weight bigint, least int, score double"), "measured")
+    nodes, core = measured.where("other < 0").select("root", "node", "least", "score"), measured.where("other >= 0").drop("least", "score")
+    work = core.groupBy("root").agg((F.count(F.lit(1)) * F.count_distinct("node")).alias("work"))
+    shared = core.join(work.select("root", F.greatest(F.lit(1), F.least(F.lit(SHARES), F.ceil(F.col("work") / SHARE_WORK))).cast("int").alias("shares")), "root")
+    each = shared.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    passed = each.groupBy("root", "share").applyInPandas(follow, f"root {kind}, node int, share int, passed double")
+    # Added up in order, so that the sum is always the same.
+    passed = passed.groupBy("root", "node").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("share", "passed"))), F.lit(0.0), lambda x, y: x + y["passed"]).alias("passed"))
+    named = nodes.join(numbers, ["root", "node"])
+    groups = named.groupBy("root", "least").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("uid").cast("string")).alias("name"))
+    groups = groups.select("root", "least", (F.row_number().over(Window.partitionBy("root").orderBy(F.desc("n"), "name")) - 1).alias("community"))
+    central = (F.col("score") + F.coalesce("passed", F.lit(0.0))) / ((F.col("nodes") - 1) * (F.col("nodes") - 2))
+    found = named.join(groups, ["root", "least"]).join(passed, ["root", "node"], "left").select("root", "uid", "community", F.round(central, 6).alias("centrality"))
+    rows = ball.join(found, ["root", "uid"], "left").join(sizes, "root")
+    known = F.col("nodes").isNotNull()
     return rows.select("root", "uid", F.when(known, F.coalesce("community", F.lit(0))).alias("community"), F.when(known, F.coalesce("centrality", F.lit(0.0))).alias("centrality"))
 
 

@@ -131,6 +131,54 @@ def test_measures_of_large_balls_take_little_time():
     assert time.time() - began < 60
 
 
+def test_balls_of_any_size_are_measured(spark):
+    n = 20_100
+    rows = [("r", f"n{i}") for i in range(n)] + [(f"n{i}", f"n{i + 1}") for i in range(3)]
+    edges = spark.createDataFrame(rows, "src string, dst string").withColumn("edge_type", F.lit("extends"))
+    found = {r.uid: r for r in graph.concept_cluster(edges, spark.createDataFrame([("r",)], "uid string")).collect()}
+    assert len(found) == n + 1 and None not in {r.community for r in found.values()} | {r.centrality for r in found.values()}
+    # Between n0 and n2, and n1 and n3, one of two paths leads through the root; between others than neighbours all do.
+    assert found["r"].centrality == round(1 - 2 * (3 + 1) / n / (n - 1), 6) and found["n9"].centrality == 0
+    assert len({found[f"n{i}"].community for i in range(4)}) == 1 != len({r.community for r in found.values()})
+
+
+def test_paths_of_a_ball_are_followed_in_shares(spark):
+    rng = random.Random(4)
+    rows = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(60)} | {("r", f"n{i}") for i in range(0, 30, 3)} | {("n1", "leaf"), ("s", "n2")})
+    edges = spark.createDataFrame(rows, "src string, dst string").withColumn("edge_type", F.lit("extends"))
+    roots = spark.createDataFrame([("r",), ("s",)], "uid string")
+    whole = sorted(graph.concept_cluster(edges, roots).collect())
+    work, graph.SHARE_WORK = graph.SHARE_WORK, 100
+    try:
+        assert sorted(graph.concept_cluster(edges, roots).collect()) == whole
+    finally:
+        graph.SHARE_WORK = work
+    for root in ("r", "s"):
+        inside = {r.uid for r in whole if r.root == root}
+        pairs = [p for p in rows if inside.issuperset(p)]
+        central, groups = graph.betweenness(pairs), graph.modularity_communities(pairs)
+        assert {r.uid: r.centrality for r in whole if r.root == root} == pytest.approx(central, abs=1e-6)
+        assert {r.uid: r.community for r in whole if r.root == root} == {x: i for i, g in enumerate(groups) for x in g}
+
+
+def test_communities_join_what_gains_most():
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randint(2, 14)
+        links = {tuple(sorted((rng.randrange(n), rng.randrange(n)))) for _ in range(rng.randint(1, 3 * n))}
+        groups = {x: {x} for p in links for x in p}
+        links = {(a, b) for a, b in links if a != b}
+        between = lambda x, y, links=links: sum((a in x and b in y) or (a in y and b in x) for a, b in links)
+        ends = lambda x, links=links: sum((a in x) + (b in x) for a, b in links)
+        while True:
+            gains = [(ends(groups[a]) * ends(groups[b]) - 2 * len(links) * between(groups[a], groups[b]), a, b) for a in groups for b in groups if a < b]
+            least, a, b = min(gains, default=(0, 0, 0))
+            if least >= 0:
+                break
+            groups[a] |= groups.pop(b)
+        assert sorted(map(sorted, graph.modularity_communities(list(links) + [(x, x) for g in groups.values() for x in g]))) == sorted(map(sorted, groups.values()))
+
+
 def test_betweenness_counts_paths():
     rng = random.Random(8)
     for _ in range(40):
