@@ -294,6 +294,37 @@ def test_history_of_frequent_fingerprints_agrees(spark, monkeypatch):
     test_history_batches_agree(spark)
 
 
+def test_history_of_dense_fingerprints_agrees(spark, monkeypatch):
+    monkeypatch.setattr(history, "DENSE", 1)
+    test_history_batches_agree(spark)
+
+
+def test_records_of_a_dense_fingerprint_are_paired_by_names_and_titles(monkeypatch, tmp_path):
+    rng = random.Random(11)
+    n, asked, told_of = 2500, [], history._may_meet
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 9)))
+    titles = ["".join(word() for _ in range(rng.choice((1, 9, 20)))) for _ in range(n)]
+    for i in range(0, 400, 2):
+        titles[i + 1] = titles[i][1:] + "x" * rng.randint(0, 1)
+    people = [[rng.randrange(1 << 32) - (1 << 31) for _ in range(rng.randint(0, 3))] for _ in range(n)]
+    for i in range(300, 700, 2):
+        people[i + 1] = people[i][:1]
+    years = [rng.choice((None, *range(1900, 2000))) for _ in range(n)]
+    marks = b"".join(m.ljust(history.MARK.itemsize, b"\0") for m in map(history.mark_of, titles, people, [None] * n, years))
+    dealt = history.pa.table({"part": [0], "keys": [np.full(n, 8, np.int64).tobytes()], "at": [np.arange(n, dtype=np.int32).tobytes()], "recs": [np.arange(n).tobytes()], "marks": [marks]})
+    monkeypatch.setattr(history, "_may_meet", lambda *a: lambda x, y: asked.append(len(x)) or told_of(*a)(x, y))
+    met = history._meeting(tmp_path.as_uri(), [])(dealt)
+    found = {(r["key"], r["rec_no"]) for r in met.to_pylist() if r["part"] == history.PAIRS}
+    assert not {r["part"] for r in met.to_pylist()} - {0, history.PAIRS} and sum(asked) < n * n / 8
+    x, y = np.triu_indices(n, 1)
+    parsed, known = history._marks(history.pa.array([history.mark_of(*a) for a in zip(titles, people, [None] * n, years, strict=True)]))
+    passed = told_of(parsed, known)(x, y)
+    every = set(zip(x[passed].tolist(), y[passed].tolist(), strict=True))
+    # Sets of bits may seem to share a name where no name is the same.
+    assert found <= every and {(a, b) for a, b in every if set(people[a]) & set(people[b]) or not people[a] or not people[b]} <= found
+    assert {(i, i + 1) for i in range(0, 400, 2) if len(titles[i]) >= history.SPECIAL} <= found
+
+
 def test_marks_lose_no_link():
     rng = random.Random(5)
     titles = []
